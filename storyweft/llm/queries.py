@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from storyweft.llm import exact_dedup
 from storyweft.llm.bpe_codec import op4_bpe_codec
+from storyweft.llm.packing import op10_packing
+from storyweft.llm.shingle_join import op2_near_duplicates
 from storyweft.llm.token_counts import op6_token_counts
 from storyweft.llm.token_files import op3_token_files
+from storyweft.llm.toxicity import op8_toxicity
+from storyweft.llm.url_filter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_bpe_codec, op6_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_token_files, op4_bpe_codec, exact_dedup.op5_exact_dedup, op6_token_counts, op8_toxicity, op9_url_filter, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.SQL}
