@@ -34,11 +34,11 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
         a = b
 
 
-def pieces_of_batch(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text"):
+def pieces_of_batch(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text", limit: int = STEP_BYTES):
     """(ids, bytes, offsets) of a batch, a few megabytes of text at a time."""
     ids = batch.column(key).to_numpy(zero_copy_only=False)
     data, offsets = text_bytes(batch.column(text))
-    for a, b in steps(offsets):
+    for a, b in steps(offsets, limit):
         yield ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -74,3 +74,12 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: its lineage ends there."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/tables/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
