@@ -67,18 +67,19 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.nd
 
 
 def pack_block(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    distinct, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank[place]
+    count = np.bincount(ids)
+    distinct = np.flatnonzero(count)
+    order = np.argsort(-count[distinct], kind="stable")
+    rank = np.zeros(len(count), np.uint32)
+    rank[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank[ids]
     size = 1 + (ranks >= 1 << 8).astype(np.int64) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     control = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     control[: len(ids)] = size - 1
     control = control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
     at = np.cumsum(size) - size
     data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
+    for k in range(int(size.max(initial=0))):
         has = np.flatnonzero(size > k)
         data[at[has] + k] = (ranks[has] >> (8 * k)) & 255
     head = struct.pack("<4I", len(keys), len(ids), len(distinct), len(data))
