@@ -5,7 +5,7 @@ line end behind, byte for byte; a byte is eight binary decisions. ORDERS context
 bytes and the bytes of the word so far, each hash the decision to a slot of a table that holds how
 often it came out 0 and 1 in all training texts. A slot predicts a logit; the logits are added
 with weights gated by the decision's place in the byte and by how much the slot has seen. The
-weights learn online, text after text; a last stage refines the mixed probability adaptively by
+weights learn online at a falling rate, text after text; a last stage refines the mixed probability adaptively by
 the longest context seen. Minus the sum of the decisions' log2 probabilities is the text's bits.
 
 Training texts are those whose crc32(doc_id as text) mod 10 is not 0. Of these, remainders 2 to 9
@@ -40,8 +40,8 @@ from storyweft.llm.words import LOWERED, mix, slice_hashes, word_places
 WINDOW, ORDERS = 6, 6  # bytes of a window with its last one; contexts of 1 to 5 bytes and the word
 SLOT_BITS, BLOCK_BITS = 20, 14
 SLOTS, BLOCK = 1 << SLOT_BITS, 1 << BLOCK_BITS
-CONFIDENCES, BINS, RATE = 16, 33, 0.02
-MIX_TEXTS, TOP = 400, 1 << 19
+CONFIDENCES, BINS, RATE = 16, 33, 0.01
+MIX_TEXTS, TOP = 800, 1 << 19
 STEP = 16 << 20
 END = 10
 END_TOKEN = np.uint64(0x5EED0E2D)
@@ -241,7 +241,7 @@ def fresh() -> tuple[np.ndarray, np.ndarray]:
     return weights, stage
 
 
-def learn(texts: list[str], slot: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def learn(texts: list[str], slot: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Weights and last stage after one online pass over texts, chunk windows at a time."""
     weights, stage = fresh()
     raw = [t.encode() for t in texts]
@@ -250,7 +250,7 @@ def learn(texts: list[str], slot: np.ndarray, chunk: int = 2048) -> tuple[np.nda
     index = np.arange(ORDERS)[:, None]
     for a in range(0, len(keys), chunk):
         some = keys[a : a + chunk]
-        cached = contexts(some)
+        cached, rate = contexts(some), RATE * (1 - a / len(keys))
         for bit in range(8):
             logits, confidences, out = decisions(some, slot, bit, cached)
             logit, longest = _mixed(logits, confidences, weights, bit), _longest(confidences)
@@ -259,7 +259,7 @@ def learn(texts: list[str], slot: np.ndarray, chunk: int = 2048) -> tuple[np.nda
             flat = (index * CONFIDENCES + confidences).ravel()
             slope = np.bincount(flat, (error * logits).ravel(), ORDERS * CONFIDENCES)
             n = np.bincount(flat, np.broadcast_to(1.0, confidences.shape).ravel(), ORDERS * CONFIDENCES)
-            weights[bit] += (RATE * slope / np.sqrt(n + 1)).reshape(ORDERS, CONFIDENCES)
+            weights[bit] += (rate * slope / np.sqrt(n + 1)).reshape(ORDERS, CONFIDENCES)
             for where, share in ((low, 1 - part), (low + 1, part)):
                 cell = longest * (BINS + 1) + where
                 hits = np.bincount(cell, share, stage.size)
