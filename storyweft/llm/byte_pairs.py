@@ -93,14 +93,15 @@ class WordCache(dict):
         self.encode_many = encode_many
 
     def of(self, words: list[bytes]) -> list:
+        if len(self) > CACHE_WORDS:
+            self.clear()
         got = [*map(self.get, words)]
-        if None in got:
-            if len(self) > CACHE_WORDS:
-                self.clear()
-                got = [None] * len(words)
-            unknown = [*{w for w, x in zip(words, got) if x is None}]
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            unknown = [*{words[i] for i in missing}]
             self.update(zip(unknown, self.encode_many(unknown)))
-            got = [*map(self.__getitem__, words)]
+            for i in missing:
+                got[i] = self[words[i]]
         return got
 
 
