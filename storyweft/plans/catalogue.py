@@ -1,6 +1,416 @@
-"""Queries of the reference's own operators by name, with DuckDB SQL for each that SQL can express."""
+"""Queries of the operators by name, with DuckDB SQL for each that SQL can express.
+
+Tables stand in for the pipeline's inputs: documents are the texts, events.ts of event_id = doc_id
+their time, embeddings dense vectors with a label, labels a partial ground truth.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyweft.functions import text as T
+from storyweft.functions import vectors as V
+from storyweft.operators import burst, learning, metrics, neighbors, pooling, stories, tfidf
+from storyweft.session import cut, read
+from storyweft.sources import datasets
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+BATCH, SPARSE_WINDOW, DENSE_WINDOW, SPARSE_T, DENSE_T = 8, 400, 200, 0.65, 0.65
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+TOKENS = r"tok AS (SELECT DISTINCT doc_id AS idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents)"
+WEIGHTS = f"""{TOKENS}, n AS (SELECT count(*) AS n FROM documents),
+voc AS (SELECT token, count(*) AS df, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tok, n GROUP BY token HAVING count(*) > 10),
+raw AS (SELECT idx, token, idf FROM tok JOIN voc USING (token)),
+wt AS (SELECT idx, token, idf / sqrt(sum(idf * idf) OVER (PARTITION BY idx)) AS w FROM raw)"""
+POSITIONS = "pos AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS i, max(w) > 0.21 AS seed FROM wt GROUP BY idx)"
+SPARSE_NEAR = f"""{WEIGHTS}, {POSITIONS}, f AS (SELECT i, seed, token, w FROM wt JOIN pos USING (idx)),
+pairs AS (SELECT a.i, c.i AS j, round(greatest(0, least(2, 1 - sum(a.w * c.w))), 12) AS d FROM f a JOIN f c ON a.token = c.token AND c.seed
+  AND c.i < a.i // {BATCH} * {BATCH} AND c.i >= a.i // {BATCH} * {BATCH} - {SPARSE_WINDOW} GROUP BY a.i, c.i),
+near AS (SELECT i, min(d) AS d, arg_min(j, (d, j)) AS j FROM pairs GROUP BY i)"""
+DENSE_NEAR = f"""pos AS (SELECT vec_id AS idx, label, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i, true AS seed FROM embeddings),
+pairs AS (SELECT a.i, c.i AS j, round(greatest(0, least(2, 1 - list_cosine_similarity(a.v, c.v))), 12) AS d FROM pos a JOIN pos c
+  ON c.i < a.i // {BATCH} * {BATCH} AND c.i >= a.i // {BATCH} * {BATCH} - {DENSE_WINDOW}),
+near AS (SELECT i, min(d) AS d, arg_min(j, (d, j)) AS j FROM pairs GROUP BY i)"""
+
+
+def _story_sql(near: str, threshold: float, every: str) -> str:
+    """Labels by walking up the forest; ``every`` lists all ids."""
+    return f"""WITH RECURSIVE {near}, par AS (SELECT pos.i, seed, CASE WHEN pos.i >= {BATCH} AND d < {threshold} THEN j END AS p FROM pos LEFT JOIN near ON near.i = pos.i),
+up(i, root) AS (SELECT i, i FROM par WHERE p IS NULL UNION ALL SELECT c.i, up.root FROM par c JOIN up ON c.p = up.i),
+heads AS (SELECT i, i < {BATCH} AS early FROM par WHERE p IS NULL AND seed),
+named AS (SELECT i AS root, row_number() OVER (PARTITION BY early ORDER BY i) - 1 + CASE WHEN early THEN 0 ELSE (SELECT count(*) FROM pos WHERE i < {BATCH}) END AS pred FROM heads)
+SELECT e.idx, CASE WHEN pos.i IS NULL THEN -1 ELSE coalesce(pred, -2) END AS pred FROM ({every}) e LEFT JOIN pos ON pos.idx = e.idx LEFT JOIN up ON up.i = pos.i LEFT JOIN named ON named.root = up.root"""
+
+
+def _docs(spark, d):
+    return read(spark, d, "documents")
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    return tfidf.tfidf(_docs(spark, d))
+
+
+def _sparse_rows(spark, d):
+    """(weights, positions, (i, token, w), (i, seed))."""
+    weighted = cut(_weighted(spark, d))
+    positions = cut(stories.dense_positions(weighted))
+    mask = tfidf.seed_mask(weighted).join(positions, "idx").select("i", "seed")
+    return weighted, positions, weighted.join(positions, "idx").select("i", "token", "w"), mask
+
+
+def _dense_rows(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), V.doubles(F.col("embedding")).alias("vec"), "label").where(~V.is_zero(F.col("vec")))
+    positions = cut(stories.dense_positions(rows))
+    return rows, positions, rows.join(positions, "idx").select("i", "vec")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS text, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS idx FROM documents")
+def load_dedup_sort(spark, d):
+    raw = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    return datasets.prepare(raw.unionByName(raw)).select("id", "text", F.col("idx").cast("long").alias("idx"))
+
+
+@query("SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def annotation_filter_labelled(spark, d):
+    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), "text").join(read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id", "left")
+    return datasets.prepare(rows, "annotated").select(F.col("id").cast("long").alias("doc_id"), "label")
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d') AS date, strftime(ts, '%H:%M:%S') AS time FROM events")
+def derive_date_time(spark, d):
+    return read(spark, d, "events").select("event_id", T.date_of(F.col("ts")).alias("date"), T.time_of(F.col("ts")).alias("time"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS long_form, strftime(ts, '%Y-%m-%d %H:%M:%S') AS short_form FROM events")
+def parse_created_at(spark, d):
+    days = F.array(*map(F.lit, ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")))
+    name = F.get(days, F.weekday("ts"))
+    long = F.concat(name, F.lit(" "), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))
+    rows = read(spark, d, "events").select("event_id", long.alias("a"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("b"))
+    back = lambda c: F.date_format(T.parse_created_at(F.col(c)), "yyyy-MM-dd HH:mm:ss")
+    return rows.select("event_id", back("a").alias("long_form"), back("b").alias("short_form"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, 'http\S+', '', 'g') AS bare, regexp_replace('see ' || url || ' now', 'http\S+', '', 'g') AS inside FROM pages")
+def clean_urls(spark, d):
+    url = F.col("url")
+    return read(spark, d, "pages").select("page_id", T.remove_urls(url).alias("bare"), T.remove_urls(F.concat(F.lit("see "), url, F.lit(" now"))).alias("inside"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '@[^\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}]+', '', 'g') AS text FROM documents")
+def clean_mentions(spark, d):
+    return _docs(spark, d).select("doc_id", T.remove_mentions(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '['' ]'), lambda w: NOT regexp_full_match(w, '\p{Nd}{5,}')), ' ') AS text FROM documents")
+def drop_long_numbers(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.drop_long_numbers(T.split_words(F.col("text"))), " ").alias("text"))
+
+
+@query()
+def split_hashtags(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(F.transform(T.split_words(F.replace("text", F.lit("\n"), F.lit(""))), T.split_hashtag), " ").alias("text"))
+
+
+@query()
+def squeeze_repeats(spark, d):
+    return _docs(spark, d).select("doc_id", T.squeeze_repeats(F.col("text")).alias("text"))
+
+
+@query()
+def format_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.format_text(F.col("text"), remove_mention=True).alias("text"))
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents")
+def tokenize(spark, d):
+    return _docs(spark, d).select("doc_id", F.explode(T.lower_tokens(F.col("text"))).alias("token"))
+
+
+@query(f"WITH {WEIGHTS} SELECT token, df, round(idf, 9) AS idf FROM voc")
+def vocabulary_df_idf(spark, d):
+    docs = _docs(spark, d)
+    return tfidf.vocabulary(tfidf.token_rows(docs), docs.count()).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {TOKENS}, s(token) AS (VALUES ('the'), ('of'), ('and'), ('que'), ('die')) SELECT token, count(*) AS df FROM tok WHERE token NOT IN (SELECT token FROM s) GROUP BY token HAVING count(*) > 10")
+def vocabulary_without_stop_words(spark, d):
+    rows = tfidf.token_rows(_docs(spark, d), stop_words=["the", "of", "and", "que", "die"])
+    return tfidf.document_frequency(rows).where("df > 10")
+
+
+@query(r"SELECT doc_id AS idx, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents) GROUP BY ALL")
+def term_counts(spark, d):
+    return tfidf.term_counts(tfidf.token_rows(_docs(spark, d)), binary=False)
+
+
+@query(f"WITH {WEIGHTS} SELECT idx, token, round(w, 6) AS w FROM wt")
+def tfidf_weights(spark, d):
+    return _weighted(spark, d).select("idx", "token", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {WEIGHTS} SELECT doc_id AS idx FROM documents WHERE doc_id NOT IN (SELECT idx FROM wt)")
+def zero_rows(spark, d):
+    return tfidf.zero_rows(_docs(spark, d), _weighted(spark, d))
+
+
+@query(f"WITH {WEIGHTS} SELECT idx, max(w) > 0.21 AND count(*) > 0 AS seed FROM wt GROUP BY idx")
+def seed_mask(spark, d):
+    return tfidf.seed_mask(_weighted(spark, d))
+
+
+HISTORY = f"WITH {TOKENS}, h AS (SELECT token, count(*) AS df FROM tok WHERE idx % 2 = 0 GROUP BY token), o AS (SELECT token, count(*) AS df FROM tok WHERE idx % 2 = 1 GROUP BY token)"
+
+
+def _halves(spark, d):
+    docs = _docs(spark, d)
+    rows = tfidf.token_rows(docs)
+    return docs, tfidf.document_frequency(rows.where("idx % 2 = 0")), rows.where("idx % 2 = 1")
+
+
+@query(f"{HISTORY}, u AS (SELECT token, sum(df)::BIGINT AS df FROM (FROM h UNION ALL FROM o) GROUP BY token HAVING sum(df) > 10) SELECT token, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 9) AS idf FROM u")
+def vocabulary_with_history(spark, d):
+    docs, history, rows = _halves(spark, d)
+    n = docs.where("doc_id % 2 = 1").count()
+    found = tfidf.vocabulary(rows, n, 10, history, docs.count() - n)
+    return found.select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"{HISTORY} SELECT token FROM o WHERE token NOT IN (SELECT token FROM h)")
+def vocabulary_growth(spark, d):
+    _, history, rows = _halves(spark, d)
+    return tfidf.new_terms(rows, history)
+
+
+@query("SELECT CAST(floor(avg(n) * 24 / 24 / 8) * 8 AS BIGINT) AS window_rows FROM (SELECT count(*) AS n FROM events GROUP BY CAST(ts AS DATE))")
+def window_size_from_rate(spark, d):
+    rows = read(spark, d, "events").select(T.date_of(F.col("ts")).alias("date"))
+    return spark.createDataFrame([(stories.window_rows(rows, "date", 24, BATCH),)], "window_rows long")
+
+
+@query(f"WITH {SPARSE_NEAR} SELECT i, j, round(d, 9) AS d FROM near")
+def nn_sparse_window(spark, d):
+    _, _, rows, mask = _sparse_rows(spark, d)
+    return neighbors.nearest_sparse(rows, mask, SPARSE_WINDOW, BATCH).select("i", "j", F.round("d", 9).alias("d"))
+
+
+@query(f"WITH {DENSE_NEAR} SELECT i, j, round(d, 9) AS d FROM near")
+def nn_dense_window(spark, d):
+    return neighbors.nearest_dense(_dense_rows(spark, d)[2], DENSE_WINDOW, BATCH).select("i", "j", F.round("d", 9).alias("d"))
+
+
+@query(_story_sql(SPARSE_NEAR, SPARSE_T, "SELECT doc_id AS idx FROM documents"))
+def fsd_sparse(spark, d):
+    _, positions, rows, mask = _sparse_rows(spark, d)
+    near = neighbors.nearest_sparse(rows, mask, SPARSE_WINDOW, BATCH)
+    return stories.stories(_docs(spark, d), positions, near, SPARSE_T, mask, BATCH)
+
+
+def _fsd_dense(spark, d, thresholds):
+    _, positions, vectors = _dense_rows(spark, d)
+    near = neighbors.nearest_dense(vectors, DENSE_WINDOW, BATCH)
+    return stories.sweep(read(spark, d, "embeddings"), positions, near, thresholds, None, BATCH, "vec_id")
+
+
+DENSE_STORY = _story_sql(DENSE_NEAR, DENSE_T, "SELECT vec_id AS idx FROM embeddings")
+
+
+@query(DENSE_STORY)
+def fsd_dense(spark, d):
+    return _fsd_dense(spark, d, [DENSE_T]).select("idx", "pred")
+
+
+@query(" UNION ALL ".join(f"SELECT {t}::DOUBLE AS t, count(*) AS clusters, max(c) AS max_size FROM (SELECT pred, count(*) AS c FROM ({_story_sql(DENSE_NEAR, t, 'SELECT vec_id AS idx FROM embeddings')}) GROUP BY pred)" for t in (0.6, 0.65, 0.7)))
+def fsd_threshold_sweep(spark, d):
+    sizes = _fsd_dense(spark, d, [0.6, 0.65, 0.7]).groupBy("t", "pred").agg(F.count("*").alias("c"))
+    return sizes.groupBy("t").agg(F.count("*").alias("clusters"), F.max("c").alias("max_size"))
+
+
+@query("SELECT count(*) AS clusters, avg(n) AS mean_size, stddev_samp(n) AS std_size, min(n) AS min_size, median(n) AS median_size, max(n) AS max_size FROM (SELECT count(*) AS n FROM documents GROUP BY source)")
+def cluster_size_stats(spark, d):
+    return metrics.cluster_sizes(_docs(spark, d), "source")
+
+
+CELLS = "c AS (SELECT label, pred, count(*) AS n FROM (SELECT lang AS label, source AS pred FROM documents) WHERE label IS NOT NULL AND pred IS NOT NULL GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY label) AS nl, sum(n) OVER (PARTITION BY pred) AS np FROM c)"
+
+
+def _pairs(spark, d):
+    return _docs(spark, d).select(F.col("lang").alias("label"), F.col("source").alias("pred"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) for c in columns])
+
+
+@query(f"WITH {CELLS}, s AS (SELECT *, n / np AS p, n / nl AS r, 2 * n / (np + nl) AS f1 FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, n DESC, pred) AS k FROM s) SELECT round(avg(p), 9) AS p, round(avg(r), 9) AS r, round(avg(f1), 9) AS f1 FROM k WHERE k = 1")
+def best_match_f1(spark, d):
+    return _rounded(metrics.best_match(metrics.contingency(_pairs(spark, d))), "p", "r", "f1")
+
+
+PURITY = "WITH b AS (SELECT lang AS label, doc_id % 40 AS pred FROM documents), b2 AS (SELECT CASE WHEN label = 'en' OR pred % 3 = 0 THEN label ELSE 'fr' END AS label, pred FROM b), s AS (SELECT *, count(*) OVER (PARTITION BY label) AS sl, count(*) OVER (PARTITION BY pred) AS sp FROM b2), g AS (SELECT pred, label, count(*) AS n FROM s WHERE sl >= 5 AND sp >= 5 AND pred <> -1 GROUP BY ALL), h AS (SELECT pred, max(n) / sum(n) >= 0.5 AS hit, arg_max(label, n) AS main FROM g GROUP BY pred), o AS (SELECT count_if(hit) / count(*) AS p, count(DISTINCT CASE WHEN hit THEN main END) / (SELECT count(DISTINCT label) FROM s WHERE sl >= 5) AS r FROM h)"
+
+
+@query(f"{PURITY} SELECT round(p, 9) AS p, round(r, 9) AS r, round(2 * p * r / nullif(p + r, 0), 9) AS f1 FROM o")
+def purity_f1(spark, d):
+    rows = _docs(spark, d).select(F.col("lang").alias("label"), (F.col("doc_id") % 40).alias("pred"))
+    rows = rows.withColumn("label", F.when((F.col("label") == "en") | (F.col("pred") % 3 == 0), F.col("label")).otherwise("fr"))
+    return _rounded(metrics.purity(rows, 5, 0.5), "p", "r", "f1")
+
+
+@query(f"WITH {CELLS}, o AS (SELECT sum(n * n / np) / sum(n) AS p, sum(n * n / nl) / sum(n) AS r FROM x) SELECT round(p, 9) AS p, round(r, 9) AS r, round(2 * p * r / (p + r), 9) AS f1 FROM o")
+def bcubed(spark, d):
+    return _rounded(metrics.bcubed(metrics.contingency(_pairs(spark, d))), "p", "r", "f1")
+
+
+@query(f"WITH {CELLS}, o AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS sl, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY pred)) AS sp, (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS t) SELECT round((s - sl * sp / t) / ((sl + sp) / 2 - sl * sp / t), 9) AS ari FROM o")
+def adjusted_rand(spark, d):
+    return _rounded(metrics.adjusted_rand(metrics.contingency(_pairs(spark, d))), "ari")
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT sum(n)::DOUBLE AS t FROM c), l AS (SELECT sum(n)::DOUBLE AS a FROM c GROUP BY label), p AS (SELECT sum(n)::DOUBLE AS b FROM c GROUP BY pred),
+k AS (SELECT a, b, t, unnest(range(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM l, p, t),
+e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS emi FROM k),
+m AS (SELECT sum(n / t * ln(n * t / (nl * np))) AS mi FROM x, t), h AS (SELECT (SELECT sum(-a / t * ln(a / t)) FROM l, t) AS hl, (SELECT sum(-b / t * ln(b / t)) FROM p, t) AS hp)
+SELECT round(mi, 7) AS mi, round(emi, 7) AS emi, round((mi - emi) / ((hl + hp) / 2 - emi), 7) AS ami FROM m, e, h""")
+def adjusted_mutual_info(spark, d):
+    out = metrics.adjusted_mutual_info(metrics.contingency(_pairs(spark, d)))
+    return out.select(*[F.round(c, 7).alias(c) for c in ("mi", "emi", "ami")])
+
+
+@query("WITH k AS (SELECT unnest([0, 1]) AS c), s AS (SELECT c, count_if(quality = c AND toxic = c) AS h, count_if(quality = c) AS t, count_if(toxic = c) AS p FROM labels, k WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY c) SELECT round(avg(coalesce(h / nullif(p, 0), 0)), 9) AS p, round(avg(coalesce(h / nullif(t, 0), 0)), 9) AS r, round(avg(coalesce(2 * h / nullif(p + t, 0), 0)), 9) AS f1 FROM s")
+def macro_prf(spark, d):
+    return _rounded(metrics.macro_scores(read(spark, d, "labels"), "quality", "toxic"), "p", "r", "f1")
+
+
+@query()
+def hungarian_accuracy(spark, d):
+    return spark.createDataFrame([(metrics.assigned_accuracy(metrics.contingency(_pairs(spark, d))),)], "accuracy double")
+
+
+@query("SELECT a.label AS a, b.label AS b, round(avg(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 7) AS mean_distance FROM embeddings a JOIN embeddings b ON a.label <= b.label GROUP BY ALL")
+def pairwise_label_distance(spark, d):
+    return metrics.label_distances(read(spark, d, "embeddings"), 64, "label", "embedding").select("a", "b", F.round("mean_distance", 7).alias("mean_distance"))
+
+
+def _neighbouring(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("x"), "label")
+    return rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"), F.col("label").alias("label_b")), "vec_id")
+
+
+@query("SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def paired_cosine(spark, d):
+    return _neighbouring(spark, d).select("vec_id", F.round(V.cosine_distance(F.col("x"), F.col("y")), 9).alias("cosine"))
+
+
+@query("SELECT round(corr(abs(a.label - b.label), 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS pearson FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def pearson(spark, d):
+    rows = _neighbouring(spark, d).select(F.abs(F.col("label") - F.col("label_b")).cast("double").alias("u"), V.cosine_distance(F.col("x"), F.col("y")).alias("v"))
+    found = metrics.pearson(rows, "u", "v")
+    return spark.createDataFrame([(round(found["pearson"], 9),)], "pearson double")
+
+
+WORD_VECTORS = "v AS (SELECT DISTINCT token, length(token)::DOUBLE AS x0, CASE WHEN starts_with(token, 't') THEN 1.0 ELSE 0.5 END::DOUBLE AS x1 FROM t WHERE length(token) <= 6)"
+RAW_TOKENS = r"t AS (SELECT doc_id AS idx, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')) AS token FROM documents)"
+
+
+def _word_vectors(spark, d):
+    tokens = _docs(spark, d).select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct().where(F.length("token") <= 6)
+    return tokens.select("token", F.array(F.length("token").cast("double"), F.when(F.startswith("token", F.lit("t")), 1.0).otherwise(0.5)).alias("vec"))
+
+
+def _two(df):
+    return df.select("idx", F.round(F.col("vec")[0], 9).alias("x0"), F.round(F.col("vec")[1], 9).alias("x1"))
+
+
+@query(f"WITH {RAW_TOKENS}, {WORD_VECTORS}, m AS (SELECT idx, coalesce(sum(x0), 0) / count(*) AS x0, coalesce(sum(x1), 0) / count(*) AS x1 FROM t LEFT JOIN v USING (token) GROUP BY idx) SELECT doc_id AS idx, round(coalesce(x0, 0), 9) AS x0, round(coalesce(x1, 0), 9) AS x1 FROM documents LEFT JOIN m ON m.idx = doc_id")
+def mean_pool_vectors(spark, d):
+    return _two(pooling.mean_pool(_docs(spark, d), _word_vectors(spark, d), 2))
+
+
+@query(rf"WITH {RAW_TOKENS}, {WORD_VECTORS}, i AS (SELECT token, count(DISTINCT idx) AS idf FROM t WHERE regexp_full_match(token, '[a-z]+') GROUP BY token), m AS (SELECT idx, coalesce(sum(x0 * idf), 0) / count(*) AS x0, coalesce(sum(x1 * idf), 0) / count(*) AS x1 FROM t LEFT JOIN v USING (token) LEFT JOIN i ON i.token = lower(t.token) AND regexp_full_match(t.token, '[A-Za-z]+') GROUP BY idx) SELECT doc_id AS idx, round(coalesce(x0, 0), 9) AS x0, round(coalesce(x1, 0), 9) AS x1 FROM documents LEFT JOIN m ON m.idx = doc_id")
+def weighted_pool_vectors(spark, d):
+    docs = _docs(spark, d)
+    ascii_words = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct().where("token rlike '^[a-z]+$'")
+    idf = ascii_words.groupBy("token").agg(F.count("*").cast("double").alias("idf"))
+    vectors = _word_vectors(spark, d).where("token rlike '^[A-Za-z]+$'")
+    return _two(pooling.mean_pool(docs, vectors, 2, idf=idf))
+
+
+@query()
+def burst_jlh(spark, d):
+    posts = _docs(spark, d).join(read(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    posts = posts.select(F.col("doc_id").alias("r"), "ts", "text")
+    out = burst.burst_scores(posts, 12)
+    return out.select("token", "df", F.round("idf", 9).alias("idf"), F.round("jlh_max", 9).alias("jlh_max"))
+
+
+@query("SELECT lang, source AS model, string_agg(t::INT || ':' || value, ',' ORDER BY t) AS series FROM (SELECT lang, source, (doc_id % 5)::DOUBLE AS t, max(n_chars)::BIGINT AS value FROM documents GROUP BY ALL) GROUP BY ALL")
+def series_by_model(spark, d):
+    results = _docs(spark, d).groupBy("lang", F.col("source").alias("model"), (F.col("doc_id") % 5).cast("double").alias("t")).agg(F.max("n_chars").alias("value"))
+    point = lambda p: F.concat(p["t"].cast("int").cast("string"), F.lit(":"), p["value"].cast("string"))
+    return metrics.series_by_model(results, "value").withColumn("series", F.array_join(F.transform("series", point), ","))
+
+
+@query("SELECT source AS model, round(avg(n_chars), 2) AS mean, round(stddev_samp(n_chars), 2) AS std FROM documents GROUP BY source")
+def mean_std_by_model(spark, d):
+    return metrics.mean_std(_docs(spark, d).withColumnRenamed("source", "model"), "model", "n_chars")
+
+
+@query(r"SELECT DISTINCT CAST(l.doc_id AS VARCHAR) AS id, quality, translate(text, chr(9) || chr(10) || chr(13), '   ') AS text FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE text IS NOT NULL")
+def hydrate_join(spark, d):
+    ids = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality").distinct()
+    return datasets.hydrate(ids, _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text"))
+
+
+@query("SELECT round(100 * count(l.doc_id) / count(*), 0) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def hydrated_share(spark, d):
+    ids = lambda t: read(spark, d, t).select(F.col("doc_id").cast("string").alias("id"), F.lit("x").alias("text"))
+    return datasets.hydrated_share(ids("documents"), ids("labels"))
+
+
+@query("SELECT vec_id AS i, vec_id + 1 AS j, round(1 / (1 + label), 9) AS d FROM embeddings")
+def precomputed_distances(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("i"), (F.col("vec_id") + 1).alias("j"), F.col("label").cast("double").alias("sim"))
+    return datasets.precomputed_distances(rows).select("i", "j", F.round("d", 9).alias("d"))
+
+
+@query("WITH e AS (SELECT vec_id AS i, greatest(vec_id - 3, 0) AS j, label / 10 AS d FROM embeddings UNION ALL SELECT vec_id, greatest(vec_id - 7, 0), (9 - label) / 10 FROM embeddings), b AS (SELECT * FROM e WHERE j < i) SELECT i, arg_min(j, (d, j)) AS j, round(min(d), 9) AS d FROM b GROUP BY i")
+def nn_by_edges(spark, d):
+    rows = read(spark, d, "embeddings")
+    edge = lambda back, dist: rows.select(F.col("vec_id").alias("i"), F.greatest(F.col("vec_id") - back, F.lit(0)).alias("j"), dist.alias("d"))
+    edges = edge(3, F.col("label") / 10).unionByName(edge(7, (9 - F.col("label")) / 10))
+    return neighbors.nearest_by_edges(edges).select("i", "j", F.round("d", 9).alias("d"))
+
+
+@query()
+def seeded_half_split(spark, d):
+    return learning.half_split(read(spark, d, "embeddings").select(F.col("vec_id").alias("idx")), 11)
+
+
+@query()
+def svd_project(spark, d):
+    return tfidf.svd_project(_weighted(spark, d), 20)
+
+
+@query()
+def encoder_vectors(spark, d):
+    return learning.encode(_docs(spark, d), learning.hashing_encoder, normalise=True)
+
+
+@query()
+def svm_approx(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("string").alias("label"), V.doubles(F.col("embedding")).alias("vec"))
+    return learning.kernel_classifier(rows, 11)
