@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def half_split(rows: DataFrame, seed: int, idx: str = "idx") -> DataFrame:
@@ -90,7 +91,7 @@ def encode(docs: DataFrame, provider: Callable[[], Callable[[list[str]], np.ndar
 def generate(docs: DataFrame, provider: Callable[[], Callable[[list[str]], list[str]]], text: str = "text", out: str = "generated", limit: int | None = None) -> DataFrame:
     """docs with a text that a generator made for each; ``limit`` rows at most, where given."""
     docs = docs.limit(limit) if limit else docs
-    schema = docs.schema.add(out, "string")
+    schema = StructType([*docs.schema.fields, StructField(out, StringType())])
 
     def run(batches):
         model = provider()
