@@ -42,7 +42,8 @@ SLOT_BITS, BLOCK_BITS = 20, 14
 SLOTS, BLOCK = 1 << SLOT_BITS, 1 << BLOCK_BITS
 CONFIDENCES, BINS, RATE = 16, 33, 0.01
 MIX_TEXTS, TOP = 800, 1 << 19
-STEP = 16 << 20
+#: Text bytes handled at once, and distinct windows or tokens gathered before they are merged.
+STEP, PENDING = 5 << 20, 1 << 21
 END = 10
 END_TOKEN = np.uint64(0x5EED0E2D)
 
@@ -152,7 +153,12 @@ def gather(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts, names = Counts(), ["kind", "key", "n", "block"]
-        words, n_words = [], []
+        words, n_words, seen, n_seen = [], [], [], []
+
+        def count():
+            if seen:
+                counts.add(*merged(np.concatenate(seen), np.concatenate(n_seen)))
+            seen[:], n_seen[:] = [], []
 
         def tokens():
             keys, n = merged(np.concatenate(words), np.concatenate(n_words))
@@ -168,9 +174,13 @@ def gather(docs: DataFrame) -> DataFrame:
                 words += [distinct, np.array([END_TOKEN])]
                 n_words += [n, np.array([int((left != 0).sum())])]
                 fill = np.repeat(left > 1, np.diff(begins))
-                counts.add(*np.unique(windows(text, begins)[fill], return_counts=True))
-                if sum(map(len, words)) > 1 << 22:
+                distinct, n = np.unique(windows(text, begins)[fill], return_counts=True)
+                seen.append(distinct), n_seen.append(n)
+                if sum(map(len, seen)) > PENDING:
+                    count()
+                if sum(map(len, words)) > PENDING:
                     yield tokens()
+        count()
         if words:
             yield tokens()
         found = [*counts.blocks()]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 #: A-Z in lower case, the white space \x20 and \x09-\x0D as U+0020, all else itself.
@@ -15,13 +13,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, np.uint64)
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd step modulo 2^64 and those of its inverse."""
-    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-    up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-    up[1:], down[1:] = _STEP, inverse
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_KNOWN = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the odd step modulo 2^64, and of its inverse; kept for the next call."""
+    if len(_KNOWN[0]) < n:
+        for k, base in enumerate((int(_STEP), pow(int(_STEP), -1, 1 << 64))):
+            powers = np.full(n, base, np.uint64)
+            powers[0] = 1
+            _KNOWN[k] = np.cumprod(powers, out=powers)
+    return _KNOWN
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,8 +39,7 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A 64-bit hash of each byte slice: a polynomial of its bytes' random values, mixed."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    n = 1 << max(20, len(data).bit_length())
-    up, down = _powers(n)
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
