@@ -4,7 +4,7 @@ A word is the bag of its own hash and those of its byte n-grams of 3 to 5 with i
 misspelling unseen in training shares vectors with what it imitates. A passage of WINDOW words is
 the mean of its words' mean vectors; a softmax over two classes is trained jointly with the
 vectors. A text's score is that of its most toxic passage, so a few words in a long text count;
-training first takes whole texts, then, text by text, the passage that scores highest.
+each epoch of training takes, text by text, the passage that scores highest so far.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0: TRAIN_TOXIC toxic and
 TRAIN_CLEAN other ones at most, those of the smallest hash of doc_id (fewer if there are fewer);
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from storyweft.llm.columns import pieces_of_batch, steps, table, text_bytes
 from storyweft.llm.words import LOWERED, slice_hashes, word_places
 
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 3, 1
-EPOCHS_WHOLE, EPOCHS_PASSAGE, RATE = 2, 60, 1.0
+EPOCHS, RATE = 60, 1.0
 CACHE_WORDS = 1_000_000
 
 #: Lower case, with white space and the marks around words as separators.
@@ -102,13 +102,22 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> tuple[np.ndarr
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return np.zeros(BUCKETS, np.float32), 20.0 * (2 * share - 1), 1.0
-    raw = [t.encode() for t in texts]
-    words, counts = split_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    buckets, begins = subwords([*number]) if number else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    parts, sizes = [], []
+    for k in range(0, len(texts), 100):
+        raw = [t.encode() for t in texts[k : k + 100]]
+        words, n = split_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        parts.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+        sizes.append(np.diff(n))
+    ids, counts = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    known, found = [*number], []
+    for k in range(0, len(known), 20_000):
+        found.append(subwords(known[k : k + 20_000]))
+    buckets = np.concatenate([f.astype(np.int32) for f, _ in found]) if found else np.zeros(0, np.int32)
+    begins = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in found]))]) if found else np.zeros(1, np.int64)
+    del known, found
     n_features = np.diff(begins)
-    owner = np.repeat(np.arange(len(number)), n_features)
+    owner = np.repeat(np.arange(len(number), dtype=np.int32), n_features)
     apart = np.arange(len(toxic)) % 5 == 4
     if len({*toxic[apart]}) < 2 or len({*toxic[~apart]}) < 2:
         apart[:] = False
@@ -116,29 +125,25 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> tuple[np.ndarr
     rng = np.random.default_rng(seed)
     vectors, softmax, bias = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     values = lambda: np.bincount(owner, (vectors @ (softmax[1] - softmax[0]))[buckets], len(number)) / n_features
-    epochs = EPOCHS_WHOLE + EPOCHS_PASSAGE
-    for epoch in range(epochs):
-        if epoch < EPOCHS_WHOLE:
-            first, end = counts[:-1], counts[1:]
-        else:
-            _, first, end = best_passages(values()[ids], counts)
+    for epoch in range(EPOCHS):
+        _, first, end = best_passages(values()[ids], counts)
         size = end - first
         text = np.repeat(np.arange(len(toxic)), size)
         used, word = np.unique(ids[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)], return_inverse=True)
         n = n_features[used]
         feature = buckets[np.arange(int(n.sum())) + np.repeat(begins[used] - (np.cumsum(n) - n), n)]
         bag = np.repeat(np.arange(len(used)), n)
-        gather = lambda key, rows, m: np.stack([np.bincount(key, rows[:, d], m) for d in range(DIM)], 1)
-        of_word = gather(bag, vectors[feature], len(used)) / n[:, None]
-        mean = gather(text, of_word[word], len(toxic)) / np.maximum(1, size)[:, None]
+        gather = lambda key, rows, at, m: np.stack([np.bincount(key, rows[at, d], m) for d in range(DIM)], 1)
+        of_word = gather(bag, vectors, feature, len(used)) / n[:, None]
+        mean = gather(text, of_word, word, len(toxic)) / np.maximum(1, size)[:, None]
         logits = mean @ softmax.T + bias
         chance = np.exp(logits - logits.max(1, keepdims=True))
         chance /= chance.sum(1, keepdims=True)
         error = (chance - np.eye(2)[toxic]) * mass[:, None]
-        to_word = gather(word, ((error @ softmax) / np.maximum(1, size)[:, None])[text], len(used)) / n[:, None]
-        to_vectors = gather(feature, to_word[bag], BUCKETS)
+        to_word = gather(word, (error @ softmax) / np.maximum(1, size)[:, None], text, len(used)) / n[:, None]
+        to_vectors = gather(feature, to_word, bag, BUCKETS)
         to_softmax = error.T @ mean
-        rate = RATE * (1 - epoch / epochs)
+        rate = RATE * (1 - epoch / EPOCHS)
         vectors -= rate * to_vectors / (np.abs(to_vectors).max() + 1e-12)
         softmax -= 0.2 * rate * to_softmax / (np.abs(to_softmax).max() + 1e-12)
         bias -= 0.2 * rate * error.sum(0) / (np.abs(error).sum() + 1e-12)
