@@ -3,7 +3,7 @@ each near-duplicate class; what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents. A row
-without doc_id is kept by every filter (it has no decision) but is not packed with others' ids.
+without doc_id passes the two dedup stages, which decide by doc_id.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    dropped = exact_dedup.exact_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class, the row with the smallest doc_id."""
-    kept = shingle_join.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    dropped = shingle_join.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
                 sizes = np.cumsum([0, *(len(b) // 4 for b in blobs)])
                 ends = at[1:] - np.repeat(at[sizes[:-1]], np.diff(sizes))
                 lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, kind))
-                yield pa.record_batch([pa.array(keys, pa.int64()), lists(flat, pa.int32()), lists(ends, pa.int64())], [key, "ids", "token_ends"])
+                yield pa.record_batch([keys, lists(flat, pa.int32()), lists(ends, pa.int64())], [key, "ids", "token_ends"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, ids array<int>, token_ends array<long>")
 
@@ -74,7 +74,7 @@ def digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
                 place = at[np.concatenate([[0], np.cumsum(sizes)])].tolist()
                 decoded = decoded.tobytes()
                 yield pa.record_batch(
-                    [pa.array(keys, pa.int64()), pa.array(sizes), pa.array([sha(b) for b in blobs]), pa.array([sha(decoded[a:b]) for a, b in zip(place, place[1:])])],
+                    [keys, pa.array(sizes), pa.array([sha(b) for b in blobs]), pa.array([sha(decoded[a:b]) for a, b in zip(place, place[1:])])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 

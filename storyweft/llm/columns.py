@@ -35,11 +35,11 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
 
 
 def pieces_of_batch(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text", limit: int = STEP_BYTES):
-    """(ids, bytes, offsets) of a batch, a few megabytes of text at a time."""
-    ids = batch.column(key).to_numpy(zero_copy_only=False)
+    """(ids as an Arrow array, bytes, offsets) of a batch, a few megabytes of text at a time."""
+    ids = batch.column(key).cast(pa.int64())
     data, offsets = text_bytes(batch.column(text))
     for a, b in steps(offsets, limit):
-        yield ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        yield ids.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
 def shared_dir(spark: SparkSession) -> str:

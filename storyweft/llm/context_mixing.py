@@ -18,7 +18,7 @@ The base score uses token counts of all training texts (remainders 1 to 9). Toke
 by 64-bit hashes. Counts of the TOP tokens at most that occur most often go to the workers; all
 others are joined in Spark.
 
-Null text: as empty; an empty text has one token, the end. doc_id is taken to be unique: rows that
+Null text: as empty; an empty text has one token, the end. A row without doc_id is held out. doc_id is taken to be unique: rows that
 repeat an id share the sum of their rarer tokens in the base score. With no training
 texts every count is 0 and each decision has probability 1/2.
 """
@@ -48,8 +48,9 @@ END = 10
 END_TOKEN = np.uint64(0x5EED0E2D)
 
 
-def remainder(keys: np.ndarray) -> np.ndarray:
-    return np.array([zlib.crc32(str(k).encode()) % 10 for k in keys.tolist()], np.int64)
+def remainder(keys: pa.Array) -> np.ndarray:
+    """crc32 of each id as text, mod 10; 0, held out, for a missing id."""
+    return np.array([0 if k is None else zlib.crc32(str(k).encode()) % 10 for k in keys.to_pylist()], np.int64)
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray):
@@ -343,10 +344,8 @@ def score(docs: DataFrame) -> DataFrame:
     weights, stage = learn([t or "" for t in texts["text"]], slot)
     holder, name = spark.sparkContext.broadcast((slot, weights, stage, tokens, token_counts)), uuid.uuid4().hex
     scale = np.log10(total + 0.1 * (distinct + 1))
-    end_count = 0.0
-    where = np.searchsorted(tokens, END_TOKEN)
-    if where < len(tokens) and tokens[where] == END_TOKEN:
-        end_count = float(token_counts[where])
+    ends = counts.where(F.col("key") == int(END_TOKEN)).first()
+    end_count = float(ends["n"]) if ends else 0.0
     names = ["kind", "doc", "key", "n", "known", "base", "bits"]
 
     def run(batches):
@@ -359,12 +358,12 @@ def score(docs: DataFrame) -> DataFrame:
                 hit = tokens[place] == hashes if len(tokens) else np.zeros(len(hashes), bool)
                 base = np.bincount(owner[hit], np.log10(token_counts[place[hit]] + 0.1), len(keys)) + np.log10(end_count + 0.1)
                 known = np.bincount(owner[hit], minlength=len(keys)) + int(end_count > 0)
-                yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(np.diff(at) + 1), pa.array(known), pa.array(base), pa.array(bits)], names)
+                yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), keys, pa.nulls(len(keys), pa.int64()), pa.array(np.diff(at) + 1), pa.array(known), pa.array(base), pa.array(bits)], names)
                 order = np.lexsort((hashes[~hit], owner[~hit]))
                 rest, whose = hashes[~hit][order], owner[~hit][order]
                 first = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (whose[1:] != whose[:-1])])) if len(rest) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(rest)))
-                yield pa.record_batch([pa.array(np.ones(len(first), np.int32)), pa.array(np.asarray(keys)[whose[first]], pa.int64()), pa.array(rest[first].view(np.int64)), pa.array(times), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64())], names)
+                yield pa.record_batch([pa.array(np.ones(len(first), np.int32)), keys.take(pa.array(whose[first])), pa.array(rest[first].view(np.int64)), pa.array(times), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64())], names)
 
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, "kind int, doc long, key long, n long, known long, base double, bits double"), "scored")
     rest = scored.where("kind = 1").select("doc", "key", F.col("n").alias("times")).join(counts, "key", "left")
@@ -372,10 +371,10 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
     )
-    whole = scored.where("kind = 0").select("doc", "n", "known", "base", "bits").join(rest, "doc", "left")
+    whole = scored.where("kind = 0").select("doc", "n", "known", "base", "bits").join(rest.withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of")), "left")
     return whole.select(
         F.col("doc").alias("doc_id"),
-        (F.crc32(F.col("doc").cast("string").cast("binary")) % 10 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc").cast("string").cast("binary")) % 10 == 0, F.lit(True)).alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),

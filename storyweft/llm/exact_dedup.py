@@ -9,7 +9,7 @@ texts move once, each distinct chunk once per task, and copies in any number onl
 Documents whose list holds an identifier of two contents are told apart by the hash of their text.
 
 A null text is empty. Empty texts equal each other. Rows that repeat an id and its text are all
-kept or dropped alike. An empty table gives an empty result. A hot group is summed up before the
+kept or dropped alike; one without an id stays only where no equal text has one. An empty table gives an empty result. A hot group is summed up before the
 shuffle; the join back is a plain sort-merge join whose large partitions can be split at run time.
 """
 
@@ -71,7 +71,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", e
     groups = known.groupBy("recipe", "apart").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     joined = known.join(groups, ["recipe", "apart"])
     once = joined.select("id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return once.select(F.col("id").alias(key), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return once.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,21 +4,22 @@ A document's length is its number of words ([^\\x20\\x09-\\x0D]+) and one end ma
 than the longest sequence are cut into full sequences and a rest; every token is packed once.
 Pieces are dealt into blocks of about BLOCK pieces by a hash of doc_id, so a block is bounded
 however large the corpus is; inside a block, pieces go by falling length, then id, each into the
-open bin with the least room that still takes it. If none does, a bin is opened whose size has the
+open bin with the least room that still takes it, of equal ones the one filled last. If none does, a bin is opened whose size has the
 least cost for what can still come to fill it; in the end each bin is downsized to the smallest
 permitted length that holds its contents. A sequence of length c costs ``OVERHEAD + c + c * c /
 QUADRATIC``, that is a fixed part, one that grows with its tokens and one for attention.
 
-Null or empty text: one token, its end mark. Repeated rows are packed as often as they occur. An
+Null or empty text: one token, its end mark. Rows without doc_id are packed like others. Repeated rows are packed as often as they occur. An
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +74,25 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, block: int = BLOCK)
     """Packs (doc_id, length): a row per piece with its bin, the bin's size and tokens, and the
     piece's place in it."""
     largest = max(sizes)
+    arrow = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in re.findall(r"(\w+) (?:int|long)", SCHEMA)])
     lengths = cut(lengths)
     pieces = lengths.select("doc_id", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(largest).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(largest).cast("long"), F.col("length") - F.col("start")).alias("n_tokens"))
     total = lengths.agg(F.sum(F.ceil(F.col("length") / largest))).first()[0] or 0
     blocks = max(1, -(-int(total) // block))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, at, final = best_fit(group["n_tokens"].to_numpy(), sizes)
-        held = np.bincount(bins, group["n_tokens"].to_numpy(), len(final)).astype(np.int64)
-        return group.drop(columns="block").assign(bin_id=(int(key[0]) << 32) + bins, bin_size=final[bins], bin_tokens=held[bins], at=at)
+    def run(group: pa.Table) -> pa.Table:
+        length, ids = group["n_tokens"].to_numpy(), group["doc_id"].fill_null(-(1 << 63)).to_numpy()
+        group = group.take(pa.array(np.lexsort((group["piece"].to_numpy(), ids, -length))))
+        length = group["n_tokens"].to_numpy()
+        bins, at, final = best_fit(length, sizes)
+        held = np.bincount(bins, length, len(final)).astype(np.int64)
+        first = group["block"][0].as_py() << 32
+        columns = [group[c] for c in ("doc_id", "piece", "start", "n_tokens")]
+        return pa.table([*columns, pa.array(first + bins), pa.array(final[bins]), pa.array(held[bins]), pa.array(at)], schema=arrow)
 
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(run, SCHEMA)
+    return dealt.groupBy("block").applyInArrow(run, SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

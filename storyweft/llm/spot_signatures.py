@@ -8,7 +8,8 @@ also has those of each word with the two behind it, and a text without words tha
 texts in other languages are told apart too. Equal texts have equal fingerprints.
 
 Null text: as empty; an empty text has an empty fingerprint, which is like another empty one (1)
-and unlike all others (0). Repeated rows repeat. Rows of one id are ordered by text.
+and unlike all others (0). Repeated rows repeat. Rows of one id are ordered by text; rows without an id come
+before all others, and the row after the last is the first with an id.
 """
 
 from __future__ import annotations
@@ -95,6 +96,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     low, high, count, cuts = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.percentile_approx("doc_id", slots, 10_000)).first()
     if not count:
         return docs.select("doc_id", "text", F.col("text").alias("next_text"))
+    low, high = (0, 0) if low is None else (low, high)
     buckets = min(MOST_BUCKETS, max(1, count // BUCKET_ROWS))
     bounds = sorted({low, *(cuts if buckets > SLOTS else [])})
     each = max(1, buckets // len(bounds))
@@ -102,8 +104,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
 
     def dealt(df):
-        slot = F.size(F.filter(longs(bounds), lambda b: b <= F.col("doc_id")))
-        inside = F.floor((F.col("doc_id") - F.element_at(longs(bounds), slot)) / F.element_at(longs(step), slot)).cast("long")
+        known = F.coalesce("doc_id", F.lit(low))
+        slot = F.size(F.filter(longs(bounds), lambda b: b <= known))
+        inside = F.floor((known - F.element_at(longs(bounds), slot)) / F.element_at(longs(step), slot)).cast("long")
         return df.withColumn("bucket", slot.cast("long") * (1 << 40) + inside)
 
     heads = dealt(ids).groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))  # MOST_BUCKETS rows at most

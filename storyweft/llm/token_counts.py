@@ -182,7 +182,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
         for batch in batches:
             for keys, data, offsets in pieces_of_batch(batch, key, text):
                 n = count_texts(data, offsets, path)
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
+                yield pa.record_batch([keys, pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean")
 

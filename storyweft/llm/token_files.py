@@ -13,7 +13,8 @@ Ranking inside a block covers all its ids and needs one pass over the corpus. A
 lengths of four ids at once from a table of 256 rows.
 
 Documents are dealt by ranges of doc_id, so files and rows are in ascending order; repeated ids
-are ordered by text. Null text: as empty, which still has the end id. A file is written under
+are ordered by text, and rows without an id come first. Null text: as empty, which still has the
+end id. A file is written under
 another name and then moved, so a task that runs again replaces its own file.
 """
 
@@ -36,6 +37,8 @@ from storyweft.llm import byte_pairs, pretokens
 from storyweft.llm.columns import cut, partitions, pieces_of_batch, shared_dir, table
 
 END_ID = 2
+#: What stands in a file for a missing document id.
+NO_ID = -(1 << 63)
 
 
 @lru_cache(1)
@@ -123,7 +126,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     out = store.open_output_stream(draft)
                 lists = [np.append(x, np.uint32(end_id)) for x in encode_texts(data, offsets, path)]
                 sizes = np.array([len(x) for x in lists], np.int64)
-                out.write(pack_block(keys, sizes, np.concatenate(lists).astype(np.uint32)))
+                out.write(pack_block(keys.fill_null(NO_ID).to_numpy(), sizes, np.concatenate(lists).astype(np.uint32)))
                 n_docs, n_tokens = n_docs + len(keys), n_tokens + int(sizes.sum())
         if out is not None:
             out.close()
@@ -148,7 +151,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                     for keys, sizes, ids in unpack_blocks(stream):
                         ends = np.cumsum(sizes)
                         crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-                        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.record_batch([pa.array(keys, pa.int64(), mask=keys == NO_ID), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += int(ends[-1])
 
     return placed.select("path", "ahead").repartition(partitions(spark), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

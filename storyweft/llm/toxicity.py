@@ -10,7 +10,8 @@ Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0: TRA
 TRAIN_CLEAN other ones at most, those of the smallest hash of doc_id (fewer if there are fewer);
 neither labels, lang, source nor doc_id is an input of a score. Without labels of both classes
 every text scores the share of toxic ones (0 without any). Null text: as empty; a text without
-words has a passage without words, which scores by the bias. Repeated rows repeat. Since the model
+words has a passage without words, which scores by the bias. A row without doc_id counts as held
+out. Repeated rows repeat. Since the model
 is linear, a trained one is a number per bucket, BUCKETS in all, whatever the corpus.
 """
 
@@ -193,8 +194,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for keys, data, offsets in pieces_of_batch(batch):
                 chance = score_texts(data, offsets, shared.value, bias, slope)
-                held = [zlib.crc32(str(k).encode()) % 5 == 0 for k in keys.tolist()]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(held), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                held = [k is None or zlib.crc32(str(k).encode()) % 5 == 0 for k in keys.to_pylist()]
+                yield pa.record_batch([keys, pa.array(held), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
