@@ -176,6 +176,34 @@ def label_distances(rows: DataFrame, dims: int, label: str = "label", vec: str =
     return a.join(b, "d").where("a <= b").groupBy("a", "b").agg((1 - F.sum(F.col("xa") * F.col("xb"))).alias("mean_distance"))
 
 
+def label_max_distances(rows: DataFrame, label: str = "label", vec: str = "vec", blocks: int = 8) -> DataFrame:
+    """(a, b, max_distance) of each pair of labels, own ones too. Every two rows have to meet: rows
+    are dealt into blocks by a hash of idx, and each pair of blocks is one matrix product; choose
+    blocks so that one fits a task."""
+    import pyarrow as pa
+
+    from storyweft.functions import vectors as V
+
+    mine = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
+    unit = rows.select("idx", F.col(label).cast("long").alias("label"), V.unit(V.doubles(F.col(vec))).alias("vec"), mine.alias("mine"))
+    dealt = unit.select("label", "vec", "mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = dealt.select("label", "vec", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+
+    def run(group: pa.Table) -> pa.Table:
+        labels, x = group["label"].to_numpy(), np.stack([np.asarray(v) for v in group["vec"].to_pylist()])
+        first = group["mine"].to_numpy() == group["p"].to_numpy()[0]
+        second = ~first if group["p"][0] != group["q"][0] else first
+        far, best = 1 - x[first] @ x[second].T, {}
+        for a in np.unique(labels[first]):
+            for b in np.unique(labels[second]):
+                key = (min(a, b), max(a, b))
+                best[key] = max(best.get(key, -1.0), far[np.ix_(labels[first] == a, labels[second] == b)].max())
+        return pa.table({"a": pa.array([k[0] for k in best], pa.int64()), "b": pa.array([k[1] for k in best], pa.int64()), "d": pa.array([*best.values()], pa.float64())})
+
+    found = dealt.groupBy("p", "q").applyInArrow(run, "a long, b long, d double")
+    return found.groupBy("a", "b").agg(F.max("d").alias("max_distance"))
+
+
 def pearson(rows: DataFrame, x: str, y: str) -> dict[str, float | None]:
     """Correlation and two-sided p value (Student's t by numerical integration)."""
     r, n = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y), F.count("*")).first()

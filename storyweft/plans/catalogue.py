@@ -143,7 +143,7 @@ def tokenize(spark, d):
 @query(f"WITH {WEIGHTS} SELECT token, df, round(idf, 9) AS idf FROM voc")
 def vocabulary_df_idf(spark, d):
     docs = _docs(spark, d)
-    return tfidf.vocabulary(tfidf.token_rows(docs), docs.count()).select("token", "df", F.round("idf", 9).alias("idf"))
+    return tfidf.vocabulary(tfidf.token_rows(docs, once=True), docs.count(), once=True).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {TOKENS}, s(token) AS (VALUES ('the'), ('of'), ('and'), ('que'), ('die')) SELECT token, count(*) AS df FROM tok WHERE token NOT IN (SELECT token FROM s) GROUP BY token HAVING count(*) > 10")
@@ -305,6 +305,12 @@ def pairwise_label_distance(spark, d):
     return metrics.label_distances(read(spark, d, "embeddings"), 64, "label", "embedding").select("a", "b", F.round("mean_distance", 7).alias("mean_distance"))
 
 
+@query("SELECT a.label AS a, b.label AS b, round(max(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 7) AS max_distance FROM embeddings a JOIN embeddings b ON a.label <= b.label GROUP BY ALL")
+def pairwise_label_max(spark, d):
+    rows = read(spark, d, "embeddings").withColumnRenamed("vec_id", "idx")
+    return metrics.label_max_distances(rows, "label", "embedding").select("a", "b", F.round("max_distance", 7).alias("max_distance"))
+
+
 def _neighbouring(spark, d):
     rows = read(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("x"), "label")
     return rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"), F.col("label").alias("label_b")), "vec_id")

@@ -60,6 +60,16 @@ def score_sweep(rows: DataFrame, thresholds) -> DataFrame:
     return out
 
 
+def score_pairs(pairs: DataFrame, provider, first: str = "1_text", second: str = "2_text", normalise: bool = False, prompt: str = "") -> DataFrame:
+    """pairs with ``cosine``, the distance of their texts' encodings. Pairs are numbered by content,
+    so equal pairs are encoded alike and none is lost."""
+    keyed = pairs.withColumn("_pair", F.xxhash64(first, second))
+    once = keyed.select("_pair", first, second).dropDuplicates(["_pair"])
+    side = lambda c, n: learning.encode(once, provider, "_pair", c, prompt=prompt, normalise=normalise).select(F.col("idx").alias("_pair"), F.col("vec").alias(n))
+    both = side(first, "_x").join(side(second, "_y"), "_pair")
+    return keyed.join(both.select("_pair", V.cosine_distance(F.col("_x"), F.col("_y")).alias("cosine")), "_pair").drop("_pair")
+
+
 def classify(rows: DataFrame, seeds=(11, 22, 33, 44, 55)) -> tuple[DataFrame, DataFrame]:
     """(scores per seed, their mean and deviation) of rows (idx, label, vec)."""
     out = None

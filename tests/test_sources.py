@@ -97,6 +97,12 @@ def test_cluster_run(spark):
     assert scores is None and found.count() == 24
 
 
+def test_score_pairs(spark):
+    pairs = spark.createDataFrame([("a b", "a b", 5.0), ("a b", "c d", 0.0), ("a b", "a b", 4.0)], "1_text string, 2_text string, Moyenne double")
+    got = runs.score_pairs(pairs, learning.hashing_encoder).orderBy("Moyenne").collect()
+    assert [round(r.cosine, 9) for r in got][1:] == [0.0, 0.0] and got[0].cosine > 0.3 and len(got) == 3
+
+
 def test_learning(spark):
     rows = spark.range(400).select(F.col("id").alias("idx"), (F.col("id") % 2).cast("string").alias("label"), F.array(F.col("id") % 2 * 1.0, F.rand(1) * 0.1).alias("vec"))
     assert learning.kernel_classifier(rows, 3, 20).where("label = prediction").count() > 150
