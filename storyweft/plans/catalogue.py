@@ -6,6 +6,8 @@ their time, embeddings dense vectors with a label, labels a partial ground truth
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from storyweft.functions import vectors as V
 from storyweft.operators import burst, learning, metrics, neighbors, pooling, stories, tfidf
 from storyweft.session import cut, read
 from storyweft.sources import datasets
+from storyweft.streaming import streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -420,3 +423,90 @@ def encoder_vectors(spark, d):
 def svm_approx(spark, d):
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("string").alias("label"), V.doubles(F.col("embedding")).alias("vec"))
     return learning.kernel_classifier(rows, 11)
+
+
+# smaller steps of the inventory
+
+
+@query("SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS text FROM documents")
+def one_line_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.one_line(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\x00-\x7F]', '', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{17F}]')")
+def transliterate(spark, d):
+    plain = _docs(spark, d).where(~F.col("text").rlike(r"[^\x00-\x{17F}]"))
+    return plain.select("doc_id", T.to_ascii(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}]+'), lambda w: w <> '')) AS n FROM documents")
+def white_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(T.white_split(F.col("text"))).cast("long").alias("n"))
+
+
+@query()
+def social_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", T.social_tokens(F.col("text"), ("the", "of")).alias("tokens"))
+
+
+@query("SELECT conv_id, turn, role || ': ' || text AS prompt FROM conversations")
+def prompts(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.prompt("%s: %s", F.col("role"), F.col("text")).alias("prompt"))
+
+
+@query("SELECT item_id, round(1 - (item_id % 6) / 5, 9) AS distance, round((item_id % 6) / 5, 9) AS similarity FROM benchmark")
+def label_rescale(spark, d):
+    score = (F.col("item_id") % 6).cast("double")
+    return read(spark, d, "benchmark").select("item_id", F.round(1 - score / 5, 9).alias("distance"), F.round(score / 5, 9).alias("similarity"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS text, 'u' || event_id AS url_image FROM events WHERE event_id % 2 = 0 UNION ALL SELECT CAST(event_id AS VARCHAR), event_type, NULL FROM events WHERE event_id % 2 = 1")
+def post_fields(spark, d):
+    media = F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("media_url")))).otherwise(F.array().cast("array<struct<media_url:string>>"))
+    raw = read(spark, d, "events").select(F.col("event_id").cast("string").alias("id_str"), F.lit("c").alias("created_at"), F.col("event_type").alias("full_text"), F.struct(media.alias("media")).alias("extended_entities"))
+    return datasets.post_fields(raw).select("id", "text", "url_image")
+
+
+@query("SELECT strftime(ts, '%Y%m%d') AS date, count(*) AS n FROM events GROUP BY 1")
+def rows_per_date(spark, d):
+    return read(spark, d, "events").groupBy(T.date_of(F.col("ts")).alias("date")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT lang) AS labels, count(DISTINCT source) AS preds FROM documents")
+def distinct_labels_preds(spark, d):
+    return _pairs(spark, d).agg(F.count_distinct("label").alias("labels"), F.count_distinct("pred").alias("preds"))
+
+
+@query("SELECT toxic AS label, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic")
+def value_counts(spark, d):
+    return read(spark, d, "labels").where("toxic is not null").groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CELLS} SELECT label, pred, n, nl::BIGINT AS n_label, np::BIGINT AS n_pred FROM x")
+def contingency(spark, d):
+    return metrics.contingency(_pairs(spark, d))
+
+
+# streams, run over what is there
+
+
+def _played(rows: DataFrame, mode: str, name: str) -> DataFrame:
+    name = f"{name}_{uuid.uuid4().hex}"
+    running = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return rows.sparkSession.table(name)
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
+
+
+@query(f"WITH {TOKENS} SELECT token, count(*) AS df FROM tok GROUP BY token")
+def streaming_vocabulary(spark, d):
+    return _played(streams.vocabulary_counts(_stream(spark, d, "documents")), "complete", "streaming_vocabulary")
+
+
+@query(DENSE_STORY)
+def streaming_fsd(spark, d):
+    rows = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), V.doubles(F.col("embedding")).alias("vec"))
+    return _played(streams.story_stream(rows, DENSE_T, DENSE_WINDOW, BATCH), "append", "streaming_fsd")

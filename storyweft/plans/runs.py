@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from storyweft.functions import vectors as V
 from storyweft.operators import learning, metrics, neighbors, stories, tfidf
 from storyweft.plans.options import Options, cleaning
 from storyweft.session import cut
+from storyweft.sources import datasets
 
 
 def build_features(docs: DataFrame, options: Options, provider=None, history=None, history_n: int = 0, stop_words=None) -> tuple[DataFrame, bool]:
@@ -23,6 +26,24 @@ def build_features(docs: DataFrame, options: Options, provider=None, history=Non
     return learning.encode(cleaned, provider, "idx"), False
 
 
+def cached_features(docs: DataFrame, options: Options, root: str, **more) -> tuple[DataFrame, bool]:
+    """build_features() through a cache below root. The key holds every option; a table of
+    ``examined`` rows also serves ``annotated`` ones, masked to the rows of docs."""
+    spark = docs.sparkSession
+    key = asdict(options)
+    sparse = options.model.startswith("tfidf") and not options.svd
+    wider = [key] + ([key | {"annotation": "examined"}] if options.annotation == "annotated" and not sparse else [])
+    for one in wider:
+        found = datasets.load_features(spark, datasets.cache_path(root, one), docs if one is not key else None)
+        if found is not None:
+            return found, sparse
+    features, sparse = build_features(docs, options, **more)
+    if options.save:
+        datasets.save_features(features, datasets.cache_path(root, key))
+        features = datasets.load_features(spark, datasets.cache_path(root, key))
+    return features, sparse
+
+
 def cluster(docs: DataFrame, options: Options, provider=None, **more) -> tuple[DataFrame, DataFrame | None]:
     """(predictions (t, idx, pred), scores per t or null without labels) of docs (idx, text, date,
     label if there is one)."""

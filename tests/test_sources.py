@@ -97,6 +97,24 @@ def test_cluster_run(spark):
     assert scores is None and found.count() == 24
 
 
+def test_cached_features(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "aa bb"), (1, "aa cc")], "idx long, text string")
+    options = O.Options(min_df=0)
+    for _ in range(2):
+        features, sparse = runs.cached_features(docs, options, str(tmp_path))
+        assert sparse and features.count() == 4
+    calls = []
+
+    def provider():
+        calls.append(1)
+        return learning.hashing_encoder()
+
+    for annotation in ("examined", "annotated"):
+        one = docs.where("idx = 1") if annotation == "annotated" else docs
+        found, sparse = runs.cached_features(one, O.Options(model="sbert", annotation=annotation), str(tmp_path), provider=provider)
+        assert not sparse and found.count() == one.count()
+
+
 def test_score_pairs(spark):
     pairs = spark.createDataFrame([("a b", "a b", 5.0), ("a b", "c d", 0.0), ("a b", "a b", 4.0)], "1_text string, 2_text string, Moyenne double")
     got = runs.score_pairs(pairs, learning.hashing_encoder).orderBy("Moyenne").collect()
