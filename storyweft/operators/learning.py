@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,29 +33,43 @@ def kernel_classifier(rows: DataFrame, seed: int = 0, landmarks: int = 200, c: f
     """(idx, label, prediction) of the half of rows (idx, label, vec) that is not trained on.
 
     An approximation of a kernel SVM with kernel 1 - distance: rows become their kernel values with
-    ``landmarks`` training rows, on which linear SVMs are trained, one class against the rest."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.feature import StringIndexer
-
-    split = half_split(rows.where(F.col("label").isNotNull()), seed, idx)
-    chosen = split.where("train").orderBy(F.xxhash64(F.lit(seed + 1), F.col(idx))).limit(landmarks).select("vec").collect()
+    ``landmarks`` training rows, and one machine per class against the rest is the least-squares
+    one, whose sums of products come from one pass: landmarks * (landmarks + classes) numbers."""
+    split = half_split(rows.where(F.col("label").isNotNull()), seed, idx).select(idx, F.col("label"), "vec", "train")
+    chosen = split.where("train").orderBy(F.xxhash64(F.lit(seed + 1), F.col(idx)), idx).limit(landmarks).select("vec").collect()
+    classes = [r[0] for r in split.where("train").select("label").distinct().orderBy("label").collect()]
+    if not chosen:
+        return split.where("NOT train").select(idx, "label", F.lit(None).cast(rows.schema["label"].dataType).alias("prediction"))
     points = np.array([r.vec for r in chosen], np.float64)
+    n, place = len(points) + 1, {v: k for k, v in enumerate(classes)}
 
-    @F.pandas_udf("array<double>")
-    def kernel(vec):
-        x = np.stack([np.asarray(v, np.float64) for v in vec])
+    def kernel(vectors) -> np.ndarray:
+        x = np.stack([np.asarray(v, np.float64) for v in vectors])
         far = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (points * points).sum(1)[None] - 2 * x @ points.T))
-        import pandas as pd
-
-        return pd.Series(list(1 - far))
-
-    mapped = split.withColumn("features", array_to_vector(kernel("vec")))
-    indexer = StringIndexer(inputCol="label", outputCol="target", handleInvalid="keep").fit(mapped.where("train"))
-    mapped = indexer.transform(mapped)
-    model = OneVsRest(classifier=LinearSVC(regParam=1 / (c * max(1, len(chosen))), maxIter=30), featuresCol="features", labelCol="target").fit(mapped.where("train"))
-    names = F.array(*(F.lit(x) for x in indexer.labels))
-    return model.transform(mapped.where("NOT train")).select(idx, "label", F.get(names, F.col("prediction").cast("int")).cast(rows.schema["label"].dataType).alias("prediction"))
+        return np.concatenate([1 - far, np.ones((len(x), 1))], 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros((n, n + len(classes)))
+        for batch in batches:
+            if batch.num_rows:
+                k, y = kernel(batch.column("vec").to_pylist()), np.full((batch.num_rows, len(classes)), -1.0)
+                y[np.arange(batch.num_rows), [place[v] for v in batch.column("label").to_pylist()]] = 1.0
+                total += k.T @ np.concatenate([k, y], 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total.ravel()[at])], ["at", "x"])
+
+    found = split.where("train").select("label", "vec").mapInArrow(sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    total = np.zeros(n * (n + len(classes)))
+    total[found["at"].to_numpy()] = found["x"].to_numpy()
+    total = total.reshape(n, -1)
+    weights = np.linalg.solve(total[:, :n] + np.eye(n) / c, total[:, n:])
+
+    @F.pandas_udf("int")
+    def best(vec: pd.Series) -> pd.Series:
+        return pd.Series((kernel(vec) @ weights).argmax(1).astype(np.int32))
+
+    names = F.array(*(F.lit(x) for x in classes))
+    return split.where("NOT train").select(idx, "label", F.get(names, best("vec")).cast(rows.schema["label"].dataType).alias("prediction"))
 
 
 def hashing_encoder(dims: int = 16) -> Callable[[list[str]], np.ndarray]:
