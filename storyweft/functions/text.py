@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Characters that become several, or that have no decomposition of their own.
 SEVERAL = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "…": "...", "—": "--", "«": "<<", "»": ">>", "€": "EUR", "™": "tm", "ĳ": "ij", "Ĳ": "IJ"}
-SINGLE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ı": "i", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "–": "-", "‐": "-", "‑": "-", "•": "*", " ": " ", " ": " ", " ": " ", "¡": "!", "¿": "?", "²": "2"}
+SINGLE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ı": "i", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "–": "-", "‐": "-", "‑": "-", "•": "*", "¡": "!", "¿": "?", "²": "2", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
 
 
 def _latin() -> dict[str, str]:
