@@ -1,7 +1,7 @@
 """URL verdicts by rules and, where none fits, by link-graph propagation over hosts.
 
 A page's links to other hosts become host edges, summed up per pair before anything else, so a
-host with any number of pages is a few rows. Trust is a personalised PageRank from hosts with
+host with any number of pages is a few rows; where pages meet their host's rank they are salted. Trust is a personalised PageRank from hosts with
 pages that the rules allow, along the links; distrust is one from hosts with pages that the rules
 block, against the links (who links to a blocked host is suspect). A host keeps ``1 - damping`` of
 its own seed and passes the rest on by link counts; what has nowhere to go is lost. A host's pages
@@ -23,6 +23,8 @@ from storyweft.llm.columns import cut, table
 #: (verdict, host and path) of each rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ROUNDS, CUT_EVERY, RATIO = 0.85, 12, 4, 1.0
+#: Parts into which a host's pages are dealt where they meet its rank.
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -89,7 +91,9 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFrame:
     ranks = propagate(host_edges(placed), seeds)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     verdict = F.coalesce("ruled", F.when(distrust > ratio * trust, "block").otherwise("allow"))
-    return ruled.join(ranks, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    salted = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    spread = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
