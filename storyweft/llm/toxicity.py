@@ -118,14 +118,18 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> tuple[np.ndarr
     begins = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in found]))]) if found else np.zeros(1, np.int64)
     del known, found
     n_features = np.diff(begins)
-    owner = np.repeat(np.arange(len(number), dtype=np.int32), n_features)
     apart = np.arange(len(toxic)) % 5 == 4
     if len({*toxic[apart]}) < 2 or len({*toxic[~apart]}) < 2:
         apart[:] = False
     mass = np.where(toxic == 1, 0.5 / max(1, int(toxic[~apart].sum())), 0.5 / max(1, int((1 - toxic[~apart]).sum()))) * ~apart
     rng = np.random.default_rng(seed)
     vectors, softmax, bias = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
-    values = lambda: np.bincount(owner, (vectors @ (softmax[1] - softmax[0]))[buckets], len(number)) / n_features
+
+    def values() -> np.ndarray:
+        """The margin of each known word's mean vector."""
+        margin = (vectors @ (softmax[1] - softmax[0])).astype(np.float32)
+        return np.add.reduceat(margin[buckets], begins[:-1]) / n_features if len(begins) > 1 else np.zeros(0)
+
     for epoch in range(EPOCHS):
         _, first, end = best_passages(values()[ids], counts)
         size = end - first
