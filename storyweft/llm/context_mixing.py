@@ -43,7 +43,7 @@ SLOTS, BLOCK = 1 << SLOT_BITS, 1 << BLOCK_BITS
 CONFIDENCES, BINS, RATE = 16, 33, 0.01
 MIX_TEXTS, TOP = 800, 1 << 19
 #: Text bytes handled at once, and distinct windows or tokens gathered before they are merged.
-STEP, PENDING = 5 << 20, 1 << 21
+STEP, PENDING = 4 << 20, 1 << 21
 END = 10
 END_TOKEN = np.uint64(0x5EED0E2D)
 
