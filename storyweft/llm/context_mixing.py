@@ -1,25 +1,32 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of context bit predictors.
 
 A text is its tokens (words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased) with a space between and a
 line end behind, byte for byte; a byte is eight binary decisions. ORDERS contexts, the last 1 to 5
-bytes and the bytes of the word so far, each hash the decision to a slot of a table that holds how
-often it came out 0 and 1 in all training texts. A slot predicts a logit; the logits are added
-with weights gated by the decision's place in the byte and by how much the slot has seen. The
-weights learn online at a falling rate, text after text; a last stage refines the mixed probability adaptively by
-the longest context seen. Minus the sum of the decisions' log2 probabilities is the text's bits.
-
-Training texts are those whose crc32(doc_id as text) mod 10 is not 0. Of these, remainders 2 to 9
-fill the tables, all of them; the weights learn from remainder 1, from MIX_TEXTS texts of the
-smallest hash of doc_id, so that they see slots as a new text does. The scored texts see the model
-as it is after training: a text's score does not depend on other scored texts. The probability
-of a window of bytes is then worked out once per distinct window of a batch.
+bytes and the bytes of the word so far (its last 5), each know how often a decision came out 0 and 1 in all
+training texts. A context predicts a logit; the logits are added with weights gated by the
+decision's place in the byte and by how much the context has seen. A last stage refines the mixed
+probability by the longest context seen. Minus the sum of the decisions' log2 probabilities is the
+text's bits.
+
+Training texts are those whose crc32(doc_id as text) mod 10 is not 0; all of them are counted and
+all of them train the weights. Remainders 1 to 3, 4 to 6 and 7 to 9 are FOLDS; while the weights
+and the last stage learn from a fold, its own counts are left out, so that they see contexts as a
+new text does. The scored texts see the model with all counts: a text's score does not depend on
+other scored texts.
+
+Contexts are counted exactly. Distinct windows (a byte and the 5 before it) are summed up in a
+shared table; contexts of 3 bytes and more are counted where the windows of the same last 3 bytes
+meet, shorter ones (2^24 pairs at most) go to all workers. Weights are learnt per part of that
+table, from all its windows, and averaged by how often each was used. A window's bits are worked
+out once in the corpus; bits of the TOP_WINDOWS windows at most that occur most often go to the
+workers, all others are joined.
 
 The base score uses token counts of all training texts (remainders 1 to 9). Tokens are told apart
 by 64-bit hashes. Counts of the TOP tokens at most that occur most often go to the workers; all
 others are joined in Spark.
 
 Null text: as empty; an empty text has one token, the end. A row without doc_id is held out. doc_id is taken to be unique: rows that
-repeat an id share the sum of their rarer tokens in the base score. With no training
+repeat an id share the sum of their rarer tokens and windows. With no training
 texts every count is 0 and each decision has probability 1/2.
 """
 
@@ -38,10 +45,15 @@ from storyweft.llm.columns import partitions, pieces_of_batch, stored, table
 from storyweft.llm.words import LOWERED, mix, slice_hashes, word_places
 
 WINDOW, ORDERS = 6, 6  # bytes of a window with its last one; contexts of 1 to 5 bytes and the word
-SLOT_BITS, BLOCK_BITS = 20, 14
-SLOTS, BLOCK = 1 << SLOT_BITS, 1 << BLOCK_BITS
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 CONFIDENCES, BINS, RATE = 16, 33, 0.01
-MIX_TEXTS, TOP = 800, 1 << 19
+TOP, TOP_WINDOWS = 1 << 19, 1 << 20
+#: Parts of the training texts, and counts without each of them beside the whole ones.
+FOLDS = 3
+VARIANTS = FOLDS + 1
+#: Rounds of learning and averaging, passes over a part in each, windows of a part.
+LEARNING, PASSES, PART = 2, 6, 1 << 16
 #: Text bytes handled at once, and distinct windows or tokens gathered before they are merged.
 STEP, PENDING = 4 << 20, 1 << 21
 END = 10
@@ -125,13 +137,6 @@ class Counts:
                 where = slots(order, context, node) + out * SLOTS
                 self.seen[order] += np.bincount(where, n, 2 * SLOTS).astype(np.int32).reshape(2, SLOTS)
 
-    def blocks(self):
-        """(number, packed counts) of the blocks that saw something."""
-        parts = self.seen.reshape(ORDERS, 2, SLOTS // BLOCK, BLOCK).transpose(0, 2, 1, 3)
-        for k, part in enumerate(parts.reshape(-1, 2, BLOCK)):
-            if part.any():
-                yield k, zlib.compress(np.ascontiguousarray(part).tobytes(), 1)
-
 
 def merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
@@ -148,23 +153,35 @@ def quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.clip(np.rint(logit * 16), -127, 127).astype(np.int8).view(np.uint8).astype(np.uint16) << 8) | confidence.astype(np.uint16)
 
 
+FOLD_NAMES = [f"n{k}" for k in range(FOLDS)]
+GATHERED = "kind int, key long, n long, " + ", ".join(f"{c} long" for c in FOLD_NAMES)
+
+
 def gather(docs: DataFrame) -> DataFrame:
-    """kind 0: a token's hash and count in the training texts of a task; kind 1: a block of a
-    task's slot counts."""
+    """kind 0: a token's hash and count in the training texts of a task; kind 1: a window of a
+    task's texts with its counts by fold, which are 0 if only held-out texts have it."""
+    names = [c.split()[0] for c in GATHERED.split(", ")]
 
     def run(batches):
-        counts, names = Counts(), ["kind", "key", "n", "block"]
         words, n_words, seen, n_seen = [], [], [], []
 
-        def count():
-            if seen:
-                counts.add(*merged(np.concatenate(seen), np.concatenate(n_seen)))
-            seen[:], n_seen[:] = [], []
-
         def tokens():
             keys, n = merged(np.concatenate(words), np.concatenate(n_words))
             words[:], n_words[:] = [], []
-            return pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(n), pa.nulls(len(keys), pa.binary())], names)
+            return pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(n), *[pa.nulls(len(keys), pa.int64())] * FOLDS], names)
+
+        def found():
+            packed, n = seen[0], n_seen[0]
+            seen[:], n_seen[:] = [], []
+            keys = packed >> np.uint64(2)
+            new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            cell = (np.cumsum(new) - 1) * VARIANTS + (packed & np.uint64(3)).astype(np.int64)
+            counts = np.bincount(cell, n, int(new.sum()) * VARIANTS).astype(np.int64).reshape(-1, VARIANTS)
+            return pa.record_batch([pa.array(np.ones(len(counts), np.int32)), pa.array(keys[new].view(np.int64)), pa.nulls(len(counts), pa.int64()), *(pa.array(counts[:, k]) for k in range(FOLDS))], names)
+
+        def whole():
+            keys, n = merged(np.concatenate(seen), np.concatenate(n_seen))
+            seen[:], n_seen[:] = [keys], [n]
 
         for batch in batches:
             for keys, data, offsets in pieces_of_batch(batch, limit=STEP):
@@ -174,47 +191,234 @@ def gather(docs: DataFrame) -> DataFrame:
                 distinct, n = np.unique(hashes[learn], return_counts=True)
                 words += [distinct, np.array([END_TOKEN])]
                 n_words += [n, np.array([int((left != 0).sum())])]
-                fill = np.repeat(left > 1, np.diff(begins))
-                distinct, n = np.unique(windows(text, begins)[fill], return_counts=True)
+                fold = np.where(left == 0, FOLDS, (left - 1) // 3).astype(np.uint64)
+                distinct, n = np.unique(windows(text, begins) << np.uint64(2) | np.repeat(fold, np.diff(begins)), return_counts=True)
                 seen.append(distinct), n_seen.append(n)
                 if sum(map(len, seen)) > PENDING:
-                    count()
+                    whole()
+                    if len(seen[0]) > PENDING // 2:
+                        yield found()
                 if sum(map(len, words)) > PENDING:
                     yield tokens()
-        count()
         if words:
             yield tokens()
-        found = [*counts.blocks()]
-        yield pa.record_batch([pa.array([1] * len(found), pa.int32()), pa.array([k for k, _ in found], pa.int64()), pa.array([0] * len(found), pa.int64()), pa.array([b for _, b in found], pa.binary())], names)
+        if seen:
+            whole()
+            yield found()
+
+    return docs.select("doc_id", "text").mapInArrow(run, GATHERED)
+
+
+def paths(pair: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(n, VARIANTS, 8): what the context says at each decision of the byte, quantised, by all counts
+    and by those without each fold. pair, ascending, has the context above the lowest byte."""
+    total = counts.sum(1, keepdims=True)
+    every = np.concatenate([total, total - counts], 1)
+    out = np.empty((len(pair), VARIANTS, 8), np.uint16)
+
+    def sums(group):
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        return np.add.reduceat(every, np.flatnonzero(first), axis=0)[np.cumsum(first) - 1]
+
+    if len(pair):
+        above = sums(pair >> np.uint64(8))
+        for bit in range(8):
+            here = pair >> np.uint64(7 - bit)
+            same, one = sums(here), (here & np.uint64(1)).astype(bool)[:, None]
+            out[:, :, bit] = quantised(np.where(one, above - same, same), np.where(one, same, above - same))
+            above = same
+    return out
+
+
+def grouped(batches, name: str, limit: int):
+    """Batches sorted by a column, joined to tables of some limit rows that end where it changes."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            whole = pa.Table.from_batches(held)
+            column = whole[name].to_numpy()
+            cut_at = int(np.searchsorted(column, column[-1]))
+            if cut_at:
+                yield whole.slice(0, cut_at)
+                held, rows = whole.slice(cut_at).to_batches(), whole.num_rows - cut_at
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _fold_counts(of) -> np.ndarray:
+    return np.stack([of[c].to_numpy() for c in FOLD_NAMES], 1)
+
+
+def window_table(gathered: DataFrame) -> DataFrame:
+    """window, near (its last 3 bytes) and n0 .. of each distinct window."""
+    found = gathered.where("kind = 1").groupBy(F.col("key").alias("window")).agg(*(F.sum(c).alias(c) for c in FOLD_NAMES))
+    return stored(found.withColumn("near", F.shiftright("window", 8).bitwiseAND(0xFFFFFF)), "windows")
+
+
+def short_words(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word so far and byte of each window, whether the word has less than 3 bytes)."""
+    word = contexts(keys)[ORDERS - 1]
+    return word << np.uint64(8) | keys & np.uint64(255), word < np.uint64(1 << 16)
+
+
+def short_paths(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pairs, paths) of the contexts of 1 and 2 bytes and of words of less than 3; from the windows'
+    last 4 bytes with all but the place of a separator left out, some 2^24 whatever the input."""
+    last, before = F.col("window").bitwiseAND(0xFFFFFF), F.shiftright("window", 24).bitwiseAND(255)
+    split = F.when(before.isin(32, END), 32 << 24).when(before == 0, 0).otherwise(F.lit(65 << 24)).cast("long")
+    got = table.groupBy((last + split).alias("pair")).agg(*(F.sum(c).alias(c) for c in FOLD_NAMES)).toArrow()
+    pair, counts, out = got["pair"].to_numpy().astype(np.uint64), _fold_counts(got), []
+    word, short = short_words(pair)
+    for here, some in ((pair & np.uint64(0xFFFF), slice(None)), (pair & np.uint64(0xFFFFFF), slice(None)), (word, short)):
+        here, n = here[some], counts[some]
+        order = np.argsort(here)
+        distinct, first = np.unique(here[order], return_index=True)
+        out.append((distinct, paths(here[order], n[order])[first]))
+    return out
+
+
+def said_of(t: pa.Table, short) -> np.ndarray:
+    """(n, ORDERS, VARIANTS, 8) quantised of the windows of a table that has all windows of their last 3 bytes."""
+    keys, counts = t["window"].to_numpy().astype(np.uint64), _fold_counts(t)
+    out = np.empty((len(keys), ORDERS, VARIANTS, 8), np.uint16)
+    word, is_short = short_words(keys)
+    for k in range(ORDERS):
+        pair = word if k == ORDERS - 1 else keys & np.uint64((1 << (8 * (k + 2))) - 1)
+        if k < 2:
+            out[:, k] = short[k][1][np.searchsorted(short[k][0], pair)]
+        else:
+            order = np.argsort(pair)
+            out[order, k] = paths(pair[order], counts[order])
+    out[is_short, ORDERS - 1] = short[2][1][np.searchsorted(short[2][0], word[is_short])]
+    return out
+
+
+def _without_own(t: pa.Table, said: np.ndarray):
+    """(quantised (n, ORDERS, 8), times, byte) of a part's windows in each fold, without the fold's counts."""
+    counts, byte = _fold_counts(t), t["window"].to_numpy() & 255
+    rows = [np.flatnonzero(counts[:, k]) for k in range(FOLDS)]
+    return np.concatenate([said[r, :, k + 1] for k, r in enumerate(rows)]), np.concatenate([counts[r, k] for k, r in enumerate(rows)]).astype(np.float64), np.concatenate([byte[r] for r in rows])
+
+
+def _of_bit(said: np.ndarray, byte: np.ndarray, bit: int):
+    """(logits (ORDERS, n), confidences (ORDERS, n), outcomes) of one decision."""
+    got = np.ascontiguousarray(said[:, :, bit].T)
+    return (got >> 8).astype(np.uint8).view(np.int8).astype(np.float32) / 16, (got & 255).astype(np.int64), (byte >> (7 - bit)) & 1
+
+
+def _chance(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, key long, n long, block binary")
 
+def taught(said: np.ndarray, times: np.ndarray, byte: np.ndarray, start: np.ndarray):
+    """(weights, how often each was used) after PASSES damped Newton steps over all windows of a part."""
+    weights, used, cells = start.astype(np.float64), np.zeros(start.shape), ORDERS * CONFIDENCES
+    for bit in range(8):
+        logits, confidences, out = _of_bit(said, byte, bit)
+        flat = np.arange(ORDERS)[:, None] * CONFIDENCES + confidences
+        used[bit] = np.bincount(flat.ravel(), np.broadcast_to(times, flat.shape).ravel(), cells).reshape(ORDERS, CONFIDENCES)
+        for _ in range(PASSES):
+            chance = _chance(_mixed(logits, confidences, weights, bit))
+            slope = np.bincount(flat.ravel(), (times * (out - chance) * logits).ravel(), cells)
+            bend = np.bincount(flat.ravel(), (times * (chance * (1 - chance) + 0.01) * logits * logits).ravel(), cells)
+            weights[bit] += np.clip(slope / (ORDERS * bend + 1), -0.3, 0.3).reshape(ORDERS, CONFIDENCES)
+    return weights, used
+
+
+def stage_sums(said: np.ndarray, times: np.ndarray, byte: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(2, contexts seen, bin): how often the last stage's cells were met and came out 1."""
+    stage, sums = fresh()[1], np.zeros((2, WINDOW * (BINS + 1)))
+    for bit in range(8):
+        logits, confidences, out = _of_bit(said, byte, bit)
+        longest = _longest(confidences)
+        _, low, part = _refined(_mixed(logits, confidences, weights, bit), stage, longest)
+        for where, share in ((low, 1 - part), (low + 1, part)):
+            cell = longest * (BINS + 1) + where
+            sums[0] += np.bincount(cell, share * times, stage.size)
+            sums[1] += np.bincount(cell, share * times * out, stage.size)
+    return sums.reshape(2, *stage.shape)
+
+
+def said_bits(said: np.ndarray, byte: np.ndarray, weights: np.ndarray, stage: np.ndarray) -> np.ndarray:
+    """Bits of each window's byte by (n, ORDERS, 8) quantised."""
+    total = np.zeros(len(byte))
+    for bit in range(8):
+        logits, confidences, out = _of_bit(said, byte, bit)
+        chance, _, _ = _refined(_mixed(logits, confidences, weights, bit), stage, _longest(confidences))
+        total -= np.log2(np.where(out == 1, chance, 1 - chance))
+    return total
+
+
+def trained(windows: DataFrame, short) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and last stage from all windows of all training texts. Parts come to the driver as
+    sums, one row (some 12 KB) a task."""
+    spark = windows.sparkSession
+    held = spark.sparkContext.broadcast(short)
+
+    def over_parts(work, size):
+        def run(batches):
+            total = np.zeros(size)
+            for t in grouped(batches, "near", PART):
+                some = _without_own(t, said_of(t, held.value))
+                if len(some[1]):
+                    total += work(*some)
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        return sum((np.frombuffer(r.sums) for r in windows.mapInArrow(run, "sums binary").collect()), np.zeros(size))
+
+    weights, stage = fresh()
+    for _ in range(LEARNING):
+
+        def work(said, times, byte, start=weights):
+            learnt, used = taught(said, times, byte, start)
+            return np.concatenate([(learnt * used).ravel(), used.ravel()])
+
+        total, used = over_parts(work, 2 * weights.size).reshape(2, *weights.shape)
+        weights = np.where(used > 0, total / np.maximum(used, 1), weights).astype(np.float32)
+    hits, ones = over_parts(lambda said, times, byte: stage_sums(said, times, byte, weights).ravel(), 2 * stage.size).reshape(2, *stage.shape)
+    return weights, ((ones + 20 * stage) / (hits + 20)).astype(np.float32)
 
-def slot_table(gathered: DataFrame) -> np.ndarray:
-    """(ORDERS, SLOTS) quantised slots: blocks are summed up one after another where they meet, and
-    come to the driver quantised, ORDERS * SLOTS * 2 bytes in all."""
+
+def bits_table(windows: DataFrame, short, weights: np.ndarray, stage: np.ndarray) -> DataFrame:
+    """key (the mixed window), n, bits of each distinct window."""
+    held = windows.sparkSession.sparkContext.broadcast((short, weights, stage))
 
     def run(batches):
-        at, total, keys, blocks = None, None, [], []
+        for t in grouped(batches, "near", PART):
+            short, weights, stage = held.value
+            bits = said_bits(said_of(t, short)[:, :, 0], t["window"].to_numpy() & 255, weights, stage)
+            yield pa.record_batch([pa.array(mix(t["window"].to_numpy().astype(np.uint64)).view(np.int64)), pa.array(_fold_counts(t).sum(1)), pa.array(bits)], ["key", "n", "bits"])
 
-        def close():
-            if at is not None:
-                keys.append(at), blocks.append(quantised(total[0], total[1]).tobytes())
+    return windows.mapInArrow(run, "key long, n long, bits double")
+
+
+class Lookup:
+    """Places of 64-bit hashes among sorted distinct ones."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - max(1, len(keys).bit_length()))
+        self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for one that is not there."""
+        return np.concatenate([self._places(hashes[a : a + (1 << 17)]) for a in range(0, len(hashes), 1 << 17)] or [np.zeros(0, np.int32)])
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end, out = self.starts[bucket], self.starts[bucket + 1], np.full(len(hashes), -1, np.int32)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            hit = self.keys[at[open_]] == hashes[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
 
-        for batch in batches:
-            for key, block in zip(batch.column("key").to_pylist(), batch.column("block")):
-                if key != at:
-                    close()
-                    at, total = key, np.zeros((2, BLOCK), np.int64)
-                total += np.frombuffer(zlib.decompress(block.as_py()), np.int32).reshape(2, BLOCK)
-        close()
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], ["key", "block"])
 
-    blocks = gathered.where("kind = 1").select("key", "block").repartition(partitions(gathered.sparkSession), "key").sortWithinPartitions("key")
-    out = np.tile(quantised(np.zeros(1), np.zeros(1)), (ORDERS * SLOTS // BLOCK, BLOCK))
-    for row in blocks.mapInArrow(run, "key long, block binary").toLocalIterator():
-        out[row.key] = np.frombuffer(row.block, np.uint16)
-    return out.reshape(ORDERS, SLOTS)
+# the same mixing for texts that fit in memory, by hashed slots (Counts)
 
 
 def decisions(keys: np.ndarray, slot: np.ndarray, bit: int, cached: list[np.ndarray]):
@@ -310,12 +514,12 @@ def text_bits(text: np.ndarray, begins: np.ndarray, model) -> np.ndarray:
 
 @lru_cache(1)
 def _unpacked(name: str, holder) -> tuple:
-    slot, weights, stage, tokens, counts = holder.value
-    return (slot, weights, stage), tokens, counts
+    tokens, counts, keys, bits = holder.value
+    return tokens, counts, Lookup(keys), bits
 
 
-def frequent(counts: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of all tokens above the least count that leaves ``most`` of them at most."""
+def _frequent(counts: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, values) of all rows above the least count that leaves ``most`` of them at most."""
     sizes = sorted(counts.groupBy("n").count().groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.sum("count").alias("of")).collect(), key=lambda r: -r["n"])
     least, total = None, 0
     for r in sizes:
@@ -324,54 +528,70 @@ def frequent(counts: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray
         least, total = r["n"], total + r["of"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0)
-    got = counts.where(F.col("n") >= least).toArrow()
+    got = counts.where(F.col("n") >= least).select("key", F.col(value).alias("value")).toArrow()
     keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], got["n"].to_numpy()[order].astype(np.float64)
+    return keys[order], got["value"].to_numpy()[order].astype(np.float64)
+
+
+def frequent(counts: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the most frequent tokens."""
+    return _frequent(counts, "n", most)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _rare(hashes: np.ndarray, owner: np.ndarray):
+    """(hash, owner, times) of each distinct pair."""
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], owner[first], np.diff(np.append(first, len(hashes)))
+
+
+def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     gathered = stored(gather(docs), "gathered")
     counts = stored(gathered.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, token_counts = frequent(counts)
-    slot = slot_table(gathered)
-    left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
-    some = docs.select("doc_id").where(left == 1).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MIX_TEXTS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])  # MIX_TEXTS ids
-    weights, stage = learn([t or "" for t in texts["text"]], slot)
-    holder, name = spark.sparkContext.broadcast((slot, weights, stage, tokens, token_counts)), uuid.uuid4().hex
+    found = window_table(gathered)
+    short = short_paths(found)
+    parts = found.repartition(partitions(spark), "near").sortWithinPartitions("near")
+    bits_of = stored(bits_table(parts, short, *trained(parts, short)), "window_bits")
+    holder, name = spark.sparkContext.broadcast((tokens, token_counts, *_frequent(bits_of, "bits", top_windows))), uuid.uuid4().hex
     scale = np.log10(total + 0.1 * (distinct + 1))
     ends = counts.where(F.col("key") == int(END_TOKEN)).first()
     end_count = float(ends["n"]) if ends else 0.0
     names = ["kind", "doc", "key", "n", "known", "base", "bits"]
 
     def run(batches):
-        model, tokens, token_counts = _unpacked(name, holder)
+        tokens, token_counts, lookup, window_bits = _unpacked(name, holder)
         for batch in batches:
-            for keys, data, offsets in pieces_of_batch(batch, limit=STEP):
+            for keys, data, offsets in pieces_of_batch(batch, limit=STEP // 4):
                 text, begins, hashes, at = canonical(data, offsets)
-                bits, owner = text_bits(text, begins, model), np.repeat(np.arange(len(keys)), np.diff(at))
+                ids, text_of, owner = mix(windows(text, begins)), np.repeat(np.arange(len(keys)), np.diff(begins)), np.repeat(np.arange(len(keys)), np.diff(at))
+                where = lookup(ids)
+                there = where >= 0
+                bits = np.bincount(text_of[there], window_bits[where[there]], len(keys)).astype(np.float64)
                 place = np.minimum(np.searchsorted(tokens, hashes), max(0, len(tokens) - 1)) if len(tokens) else np.zeros(len(hashes), np.int64)
                 hit = tokens[place] == hashes if len(tokens) else np.zeros(len(hashes), bool)
                 base = np.bincount(owner[hit], np.log10(token_counts[place[hit]] + 0.1), len(keys)) + np.log10(end_count + 0.1)
                 known = np.bincount(owner[hit], minlength=len(keys)) + int(end_count > 0)
                 yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), keys, pa.nulls(len(keys), pa.int64()), pa.array(np.diff(at) + 1), pa.array(known), pa.array(base), pa.array(bits)], names)
-                order = np.lexsort((hashes[~hit], owner[~hit]))
-                rest, whose = hashes[~hit][order], owner[~hit][order]
-                first = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (whose[1:] != whose[:-1])])) if len(rest) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rest)))
-                yield pa.record_batch([pa.array(np.ones(len(first), np.int32)), keys.take(pa.array(whose[first])), pa.array(rest[first].view(np.int64)), pa.array(times), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64())], names)
+                for kind, rest in ((1, _rare(hashes[~hit], owner[~hit])), (2, _rare(ids[~there], text_of[~there]))):
+                    what, whose, times = rest
+                    n = len(what)
+                    yield pa.record_batch([pa.array(np.full(n, kind, np.int32)), keys.take(pa.array(whose)), pa.array(what.view(np.int64)), pa.array(times), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names)
 
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, "kind int, doc long, key long, n long, known long, base double, bits double"), "scored")
-    rest = scored.where("kind = 1").select("doc", "key", F.col("n").alias("times")).join(counts, "key", "left")
-    rest = rest.groupBy("doc").agg(
+    of_kind = lambda kind: scored.where(F.col("kind") == kind).select("doc", "key", F.col("n").alias("times"))
+    rest = of_kind(1).join(counts, "key", "left").groupBy("doc").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
     )
+    rest_bits = of_kind(2).join(bits_of.select("key", F.col("bits").alias("each")), "key").groupBy(F.col("doc").alias("whose")).agg(F.sum(F.col("times") * F.col("each")).alias("rest_bits"))
     whole = scored.where("kind = 0").select("doc", "n", "known", "base", "bits").join(rest.withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of")), "left")
+    whole = whole.join(rest_bits, F.col("doc").eqNullSafe(F.col("whose")), "left")
     return whole.select(
         F.col("doc").alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc").cast("string").cast("binary")) % 10 == 0, F.lit(True)).alias("held_out"),
@@ -379,7 +599,7 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest_base", F.lit(0.0)) - F.col("n") * F.lit(float(scale))).alias("base_score"),
-        (F.col("bits") * F.lit(-float(np.log10(2)))).alias("score"),
+        ((F.col("bits") + F.coalesce("rest_bits", F.lit(0.0))) * F.lit(-float(np.log10(2)))).alias("score"),
     )
 
 

@@ -120,6 +120,33 @@ def test_mixing_edges(spark):
     assert len(got) == 2 and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 for r in got)
 
 
+def test_contexts_are_counted_exactly_however_many(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(97, 123, (300_000, 6)).astype(np.uint64) @ (np.uint64(256) ** np.arange(6, dtype=np.uint64)))
+    near = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    counts = {"n0": np.ones(len(keys), np.int64), "n1": np.zeros(len(keys), np.int64), "n2": np.zeros(len(keys), np.int64)}
+    new = len(keys) // 2
+    counts["n0"][new] = 0  # a window of a held-out text only
+    t = pa.table({"window": keys.astype(np.int64), "near": near.astype(np.int64), **counts})
+    said = context_mixing.said_of(t, context_mixing.short_paths(spark.createDataFrame(t.select(["window", "n0", "n1", "n2"]).to_pandas())))
+    node = [(int(keys[new]) & 255 | 256) >> (8 - bit) for bit in range(8)]
+    for order in (2, 3, 4):
+        mask = (1 << (8 * (order + 1))) - 1
+        of = [int(k) & 255 for k in keys[(keys >> np.uint64(8)) & np.uint64(mask) == (keys[new] >> np.uint64(8)) & np.uint64(mask)] if k != keys[new]]
+        for bit in range(8):
+            ones, zeros = (sum((256 | b) >> (7 - bit) == 2 * node[bit] + k for b in of) for k in (1, 0))
+            assert said[new, order, 0, bit] == context_mixing.quantised(np.array([zeros]), np.array([ones]))[0]
+
+
+def test_windows_beside_the_frequent_ones_are_joined(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["the", "cat", "Mat", "é", f"x{k}"]) for _ in range(rng.randrange(20)))) for k in range(60)] + [(70, None), (None, "cat")]
+    some, none = ({r.doc_id: r.score for r in context_mixing.score(frame(spark, rows), most).collect()} for most in (1 << 20, 0))
+    assert some.keys() == none.keys() and all(abs(some[k] - none[k]) < 1e-6 for k in some if k is not None)
+
+
 # URL filter
 
 
