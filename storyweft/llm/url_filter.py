@@ -6,7 +6,8 @@ pages that the rules allow, along the links; distrust is one from hosts with pag
 block, against the links (who links to a blocked host is suspect). A host keeps ``1 - damping`` of
 its own seed and passes the rest on by link counts; what has nowhere to go is lost. A host's pages
 without a rule are blocked if its distrust is above ``ratio`` times its trust; a host that neither
-reached is allowed.
+reached is allowed. Ranks are compared as they are, and rounds go on until no rank changes by more
+than a tiny share of its size, however far a host is from the seeds.
 
 Null urls, and those without ``://``, have an empty host and path; they fit no rule and, having no
 links to or from them, are allowed. Repeated rows stay. An empty table gives an empty result. Null
@@ -22,7 +23,10 @@ from storyweft.llm.columns import cut, table
 
 #: (verdict, host and path) of each rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, ROUNDS, CUT_EVERY, RATIO = 0.85, 12, 4, 1.0
+#: Ranks count as settled when none changes by more than DAMPING ** ROUNDS of its size in a round.
+DAMPING, ROUNDS, CUT_EVERY, RATIO = 0.85, 150, 4, 1.0
+#: Share by which distrust has to be above; sums of doubles differ by less.
+MARGIN = 1e-9
 #: Parts into which a host's pages are dealt where they meet its rank.
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +66,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, links) and seeds (host, good, bad), whose good
-    and bad each add up to 1 or 0. Both walks advance in one join per round."""
+    and bad each add up to 1 or 0. Both walks advance in one join per round, until the largest change
+    of a rank is below damping ** rounds of it."""
     walk = lambda kind, a, b: edges.select(F.lit(kind).alias("kind"), F.col(a).alias("host"), F.col(b).alias("to"), "links")
     steps = walk("good", "src", "dst").union(walk("bad", "dst", "src"))
     out_of = steps.groupBy("kind", "host").agg(F.sum("links").alias("total"))
@@ -70,12 +75,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = cut(seeds.select("host", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("seed")) for k in ("good", "bad"))))).where("seed > 0"))
     ranks = start.select("kind", "host", F.col("seed").alias("rank"))
     if not steps.isEmpty():
-        for i in range(rounds):
-            moved = steps.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-            stayed = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-            ranks = moved.union(stayed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-            ranks = cut(ranks) if i % CUT_EVERY == CUT_EVERY - 1 else ranks
-    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)), 12)
+        change, i = 1.0, 0
+        while change > damping**rounds:
+            moved = steps.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"), F.lit(0.0).alias("was"))
+            stayed = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("was"))
+            before = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+            last = i % CUT_EVERY == CUT_EVERY - 1
+            met = moved.union(stayed)
+            met = met.union(before) if last else met
+            ranks = met.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).where("rank > 0 OR was > 0")
+            if last:
+                ranks = cut(ranks)
+                change = ranks.agg(F.max(F.abs(F.col("rank") - F.col("was")) / F.greatest("rank", "was"))).first()[0] or 0.0
+            ranks, i = ranks.select("kind", "host", "rank"), i + 1
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(of("good").alias("trust"), of("bad").alias("distrust"))
 
 
@@ -90,7 +103,7 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFrame:
     seeds = sums.select("host", share("good", whole["all_good"]).alias("good"), share("bad", whole["all_bad"]).alias("bad"))
     ranks = propagate(host_edges(placed), seeds)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    verdict = F.coalesce("ruled", F.when(distrust > ratio * trust, "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(distrust > ratio * trust * (1 + MARGIN), "block").otherwise("allow"))
     salted = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     spread = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, ["host", "salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -193,6 +193,15 @@ def test_links_decide_where_no_rule_does(spark):
     assert got == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow"}
 
 
+def test_faint_distrust_from_far_away_decides(spark):
+    edges = [(f"h{k + 1}", f"h{k}", 1) for k in range(20)]
+    seeds = spark.createDataFrame([("h0", 0.0, 1e-11)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), seeds).collect()}
+    for k in range(21):
+        wanted = 0.15 * 1e-11 * 0.85**k
+        assert abs(got[f"h{k}"] - wanted) < 1e-9 * wanted
+
+
 # packing
 
 
