@@ -411,7 +411,7 @@ def seeded_half_split(spark, d):
 
 @query()
 def svd_project(spark, d):
-    return tfidf.svd_project(_weighted(spark, d), 20)
+    return tfidf.svd_project(_weighted(spark, d))
 
 
 @query()

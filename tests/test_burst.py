@@ -62,6 +62,12 @@ def test_svd_keeps_cosines_at_full_rank(spark):
         assert abs(sum(p * q for p, q in zip(vec[a], vec[b])) - exact) < 1e-9
 
 
+def test_svd_query_has_all_components(spark):
+    from storyweft.plans import catalogue
+
+    assert {len(r.vec) for r in catalogue.svd_project(spark, "/root/testdata/sf0.001").collect()} == {100}
+
+
 def test_mean_pool(spark):
     docs = spark.createDataFrame([(0, "aa bb zz"), (1, ""), (2, None), (3, "zz")], "doc_id long, text string")
     vectors = spark.createDataFrame([("aa", [3.0, 0.0]), ("bb", [0.0, 6.0])], "token string, vec array<double>")
