@@ -439,6 +439,12 @@ def transliterate(spark, d):
     return plain.select("doc_id", T.to_ascii(F.col("text")).alias("text"))
 
 
+@query()
+def transliterate_all(spark, d):
+    """Every row; transliterate has those that SQL can express."""
+    return _docs(spark, d).select("doc_id", T.to_ascii(F.col("text")).alias("text"))
+
+
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}]+'), lambda w: w <> '')) AS n FROM documents")
 def white_split(spark, d):
     return _docs(spark, d).select("doc_id", F.size(T.white_split(F.col("text"))).cast("long").alias("n"))

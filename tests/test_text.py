@@ -58,3 +58,21 @@ def test_vectors(spark):
     rows = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     got = rows.select(V.cosine_distance(F.col("a"), F.col("b")).alias("d"), V.cosine_distance(F.col("a"), F.col("z")).alias("e"), V.unit(F.col("z")).alias("u"), V.is_zero(F.col("z")).alias("q")).first()
     assert abs(got.d - 0.04) < 1e-12 and got.e == 1.0 and got.u == [0.0, 0.0] and got.q
+
+
+def test_transliterate_all_keeps_every_row(spark, tmp_path):
+    import unicodedata
+
+    from storyweft.functions import text as T
+    from storyweft.plans import catalogue
+
+    texts = [None, "", "caf\u00e9", "\u201cquoted\u201d \u2014 \u20ac5\u2026", "\u043f\u0440\u0438\u0432\u0435\u0442 ok", "\u4e2d\u6587 a", "\U0001f600!", "stra\u00dfe \u00e6"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(c):
+        known = {**T.SINGLE, **T.SEVERAL}
+        base = known.get(c, unicodedata.normalize("NFD", c)[0])
+        return base if base.isascii() else ""
+
+    wanted = {k: None if t is None else "".join(map(plain, t)) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in catalogue.transliterate_all(spark, str(tmp_path)).collect()} == wanted
