@@ -147,6 +147,15 @@ def test_windows_beside_the_frequent_ones_are_joined(spark):
     assert some.keys() == none.keys() and all(abs(some[k] - none[k]) < 1e-6 for k in some if k is not None)
 
 
+def test_texts_of_remainder_1_are_in_the_model(spark):
+    left = lambda k: zlib.crc32(str(k).encode()) % 10
+    rows = [(k, "zyxwvu qponml kjihgf" if left(k) == 1 else "abcde fghij klmno") for k in range(400) if left(k)]
+    held = [k for k in range(400, 500) if left(k) == 0][:2]
+    rows += [(held[0], "zyxwvu qponml kjihgf"), (held[1], "vyzuwx mqnolp fkgjhi")]
+    got = {r.doc_id: r.score for r in context_mixing.score(frame(spark, rows)).collect()}
+    assert got[held[0]] > got[held[1]] / 4
+
+
 # URL filter
 
 
