@@ -59,6 +59,92 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(rows.where("doc_id > 5"), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def plain_features(word):
+    raw = b"<" + word + b">"
+    parts = [raw] + [raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
+    one = lambda p: int(toxicity.slice_hashes(np.frombuffer(p, np.uint8), np.array([0]), np.array([len(p)]))[0])
+    return [one(p) % toxicity.BUCKETS for p in parts]
+
+
+def plain_words(text):
+    return bytes(toxicity.CLEANED[b] for b in text.encode()).split()
+
+
+def plain_passages(words):
+    return [words[i : i + toxicity.WINDOW] for i in range(max(1, len(words) - toxicity.WINDOW + 1))]
+
+
+def test_score_against_plain_python():
+    flat = np.random.default_rng(4).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    texts = ["", "  ", "Word", "one two, THREE four five!", "same same same same same", "été 中文 a", "x" * 3000, "a b c " * 700]
+    raw = [t.encode() for t in texts]
+    got = toxicity.score_texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), flat.tobytes(), -0.3, 1.7)
+    for text, p in zip(texts, got):
+        value = lambda w: float(np.mean([flat[f] for f in plain_features(w)]))
+        top = max(sum(map(value, ws)) / max(1, len(ws)) for ws in plain_passages(plain_words(text)))
+        assert abs(p - 1 / (1 + np.exp(0.3 - 1.7 * top))) < 1e-6
+
+
+def test_one_epoch_against_plain_python(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 8)
+    texts, toxic = ["bad bad thing here now", "good thing", "some good words here", "bad one", ""], np.array([1, 0, 0, 1, 0])
+    bags, n, dim = toxicity.Bags(texts), 1 << 8, toxicity.DIM
+    got, bias = toxicity.learnt(bags, toxic, np.ones(5, bool), 3)
+    rng = np.random.default_rng(3)
+    vectors, softmax = rng.normal(0, 0.01, (n, dim)), rng.normal(0, 0.1, (2, dim))
+    # odds of buckets, from the distinct words of each text
+    count = [Counter(f for t, c in zip(texts, toxic) if c == k for w in {*plain_words(t)} for f in plain_features(w)) for k in (0, 1)]
+    total = [sum(c.values()) for c in count]
+    share = total[1] / sum(total)
+    rate = lambda c, part, f: (count[c][f] + toxicity.PRIOR * part) / (total[c] + toxicity.PRIOR)
+    for f in range(n):
+        vectors[f, 0] = np.log(rate(1, share, f) / rate(0, 1 - share, f) * (1 - share) / share)
+    softmax[:, 0] = (-0.5, 0.5)
+    to_vectors, to_softmax, to_bias = np.zeros((n, dim)), np.zeros((2, dim)), np.zeros(2)
+    sizes = [(toxic == k).sum() for k in (0, 1)]
+    absolute = 0.0
+    of = lambda w: np.mean([vectors[f] for f in plain_features(w)], axis=0)
+    for text, c in zip(texts, toxic):
+        means = [(np.sum([of(w) for w in ws], axis=0) / len(ws) if ws else np.zeros(dim), ws) for ws in plain_passages(plain_words(text))]
+        mean, ws = max(means, key=lambda m: round(float(m[0] @ (softmax[1] - softmax[0])), 6))
+        chance = np.exp(softmax @ mean) / np.exp(softmax @ mean).sum()
+        error = (chance - np.eye(2)[c]) * 0.5 / sizes[c]
+        absolute += np.abs(error).sum()
+        to_softmax += np.outer(error, mean)
+        to_bias += error
+        for w in ws:
+            for f in plain_features(w):
+                to_vectors[f] += error @ softmax / len(ws) / len(plain_features(w))
+    vectors -= toxicity.RATE * to_vectors / np.abs(to_vectors).max()
+    softmax -= 0.2 * toxicity.RATE * to_softmax / np.abs(to_softmax).max()
+    b = -0.2 * toxicity.RATE * to_bias / absolute
+    assert np.allclose(got, vectors @ (softmax[1] - softmax[0]), atol=1e-4) and abs(bias - (b[1] - b[0])) < 1e-6
+
+
+def test_calibration_never_turns_the_score_round():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(40)]  # nothing to learn
+    for seed in range(3):
+        _, _, slope = toxicity.train(texts, np.random.default_rng(seed).permutation(np.arange(40) % 2), seed)
+        assert slope > 0
+    flat, bias, slope = toxicity.train(["foul word", "fine text", "fair line"], np.array([1, 0, 0]))  # too few for folds
+    assert slope == 1.0
+    flat, bias, slope = toxicity.train(["same text"] * 8, np.arange(8) % 2)  # tied passages of both classes
+    assert slope > 0 and np.isfinite(flat).all()
+
+
+def test_training_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 400)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, seed=11: seen.append((texts, toxic)) or (np.zeros(toxicity.BUCKETS, np.float32), 0.0, 1.0))
+    rows = [(k, "vile " * 20 if k % 2 else "mild " * 15) for k in range(40)] + [(99, "long " * 1000)]
+    toxicity.fit(frame(spark, rows + rows), spark.createDataFrame([(k, k % 2) for k in range(40)] + [(99, 1)], "doc_id long, toxic int"))
+    texts, toxic = seen[0]
+    for c in (0, 1):
+        assert 0 < sum(len(t) for t, x in zip(texts, toxic) if x == c) <= 400
+
+
 def test_passages_cover_each_text():
     counts = np.array([0, 0, 2, 12])
     first, end, text = toxicity.passages(counts)
