@@ -10,8 +10,9 @@ import numpy as np
 
 from storyweft.llm.columns import tokenizer_path
 
-#: Pre-tokens kept by a worker's cache; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes that a worker's cache may hold, by estimate; beyond it the cache starts anew. Pre-tokens
+#: longer than KEPT bytes are not kept.
+CACHE_BYTES, KEPT = 240 << 20, 256
 
 
 @lru_cache(2)
@@ -90,18 +91,22 @@ class WordCache(dict):
 
     def __init__(self, encode_many):
         super().__init__()
-        self.encode_many = encode_many
+        self.encode_many, self.held = encode_many, 0
 
     def of(self, words: list[bytes]) -> list:
-        if len(self) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
+            self.held = 0
         got = [*map(self.get, words)]
         missing = [i for i, x in enumerate(got) if x is None]
         if missing:
             unknown = [*{words[i] for i in missing}]
-            self.update(zip(unknown, self.encode_many(unknown)))
+            found = dict(zip(unknown, self.encode_many(unknown)))
             for i in missing:
-                got[i] = self[words[i]]
+                got[i] = found[words[i]]
+            short = {w: x for w, x in found.items() if len(w) <= KEPT}
+            self.update(short)
+            self.held += sum(map(len, short)) * 5 + 200 * len(short)
         return got
 
 

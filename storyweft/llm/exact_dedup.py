@@ -9,7 +9,10 @@ texts move once, each distinct chunk once per task, and copies in any number onl
 Documents whose list holds an identifier of two contents are told apart by the hash of their text.
 
 A null text is empty. Empty texts equal each other. Rows that repeat an id and its text are all
-kept or dropped alike; one without an id stays only where no equal text has one. An empty table gives an empty result. A hot group is summed up before the
+kept or dropped alike (``keep_first`` leaves one of them); one without an id stays only where no
+equal text has one. One id may stand on several texts. Only the key and text columns are read, so
+others cannot clash. A text without white space is one chunk, however long. An empty table gives an
+empty result. A hot group is summed up before the
 shuffle; the join back is a plain sort-merge join whose large partitions can be split at run time.
 """
 
@@ -60,18 +63,42 @@ def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int
     return known.where("chunk is null").drop("chunk"), twice
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY) -> DataFrame:
-    """key, keep_id, group_size, kept, text_sha256 for each row of docs."""
+def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY) -> DataFrame:
+    """id, sha, copies, keep_id, group_size of each distinct key and text of docs."""
     known, twice = recipes(docs, key, text, every)
     if twice.isEmpty():
         known = known.withColumn("apart", F.lit(""))
     else:
         met = known.select("id", F.explode("recipe").alias("chunk")).join(twice, "chunk", "left_semi").select("id").distinct()
-        known = known.join(met.withColumn("met", F.lit(True)), "id", "left").withColumn("apart", F.when(F.col("met"), F.col("sha")).otherwise("")).drop("met")
+        known = known.join(met.withColumnRenamed("id", "met"), F.col("id").eqNullSafe(F.col("met")), "left_semi").withColumn("apart", F.col("sha")).unionByName(
+            known.join(met.withColumnRenamed("id", "met"), F.col("id").eqNullSafe(F.col("met")), "left_anti").withColumn("apart", F.lit(""))
+        )
     groups = known.groupBy("recipe", "apart").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    joined = known.join(groups, ["recipe", "apart"])
-    once = joined.select("id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return once.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return known.join(groups, ["recipe", "apart"]).select("id", "sha", "copies", "keep_id", "group_size")
+
+
+def _stays() -> Column:
+    return F.col("id").eqNullSafe(F.col("keep_id"))
+
+
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY) -> DataFrame:
+    """key, keep_id, group_size, kept, text_sha256 for each row of docs."""
+    rows = decided(docs, key, text, every).select("id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return rows.select(F.col("id").alias(key), "keep_id", "group_size", _stays().alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, whole, that stay: of equal texts one row, that of the smallest key. Rows that
+    share key and text are equal too, one of them stays; so does one of equal texts without a key.
+    Rows are told by key and text, so another text of the same key is not touched. Repeated rows are
+    put together inside each task, before anything moves."""
+    sha = F.coalesce(F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, " "), 256), F.lit(""))
+    named = lambda id: (F.coalesce(id, F.lit(0)).alias("id"), id.isNull().alias("none"))
+    rows = docs.select(*named(F.col(key).cast("long")), sha.alias("sha"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    told_by = F.xxhash64(*(F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    once = rows.groupBy("id", "none", "sha").agg(F.min_by("row", told_by).alias("row"))
+    stay = decided(docs, key, text).where(_stays()).select(*named(F.col("id")), "sha")
+    return once.join(stay, ["id", "none", "sha"], "left_semi").select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
-A document's length is its number of words ([^\\x20\\x09-\\x0D]+) and one end mark. Documents longer
-than the longest sequence are cut into full sequences and a rest; every token is packed once.
+A document's length is its number of tokens, as the tokenizers library gives them, and one end mark.
+Documents longer than the longest sequence are cut into full sequences and a rest; every token is packed once.
 Pieces are dealt into blocks of about BLOCK pieces by a hash of doc_id, so a block is bounded
 however large the corpus is; inside a block, pieces go by falling length, then id, each into the
 open bin with the least room that still takes it, of equal ones the one filled last. If none does, a bin is opened whose size has the
@@ -9,21 +9,26 @@ least cost for what can still come to fill it; in the end each bin is downsized
 permitted length that holds its contents. A sequence of length c costs ``OVERHEAD + c + c * c /
 QUADRATIC``, that is a fixed part, one that grows with its tokens and one for attention.
 
-Null or empty text: one token, its end mark. Rows without doc_id are packed like others. Repeated rows are packed as often as they occur. An
-empty table gives no rows.
+Null or empty text: one token, its end mark. Texts of any length are packed whole. Rows without
+doc_id are packed like others, repeated rows as often as they occur; equal lengths and ids are equal
+items, so their order changes nothing but which row is named. An empty table gives no rows. Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.columns import cut, table
+from storyweft.llm import byte_pairs, token_counts
+from storyweft.llm.columns import cut, pieces_of_batch, table
+from storyweft.llm.token_files import END_ID, encode_texts
 
 SIZES = (512, 1024, 2048, 4096)
 BLOCK = 8192
@@ -65,9 +70,48 @@ def best_fit(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.nd
     return bins, at, final
 
 
-def lengths_of(docs: DataFrame) -> DataFrame:
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select("doc_id", (words + 1).cast("long").alias("length"))
+@lru_cache(1)
+def _library_counts(path: str):
+    """Counts of pre-tokens by the tokenizers library, the special strings."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    encode = lambda words: [len(e.ids) for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    return byte_pairs.WordCache(encode), token_counts.specials_of(path)
+
+
+def lengths_of(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id and length, the number of tokens and one end mark, of each row of docs."""
+    path = tokenizer or byte_pairs.default_json()
+
+    def run(batches):
+        for batch in batches:
+            for keys, data, offsets in pieces_of_batch(batch):
+                yield pa.record_batch([keys, pa.array(token_counts.count_texts(data, offsets, path, _library_counts) + 1)], ["doc_id", "length"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, length long")
+
+
+def filled(docs: DataFrame, placed: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """bin_id, bin_size, ids: the training sequences themselves, each document's token ids and end_id
+    behind them, for docs of distinct ids placed by pack()."""
+    path = tokenizer or byte_pairs.default_json()
+
+    def run(batches):
+        for batch in batches:
+            for keys, data, offsets in pieces_of_batch(batch):
+                lists = [np.append(x, np.uint32(end_id)).astype(np.int32) for x in encode_texts(data, offsets, path)]
+                ends = np.cumsum([0, *map(len, lists)])
+                yield pa.record_batch([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], ["doc_id", "ids"])
+
+    encoded = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    part = F.slice("ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    pieces = placed.join(encoded, "doc_id").select("bin_id", "bin_size", F.struct("at", part.alias("part")).alias("piece"))
+    each = F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["part"])
+    return pieces.groupBy("bin_id", "bin_size").agg(F.flatten(each).alias("ids"))
 
 
 def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, block: int = BLOCK) -> DataFrame:

@@ -10,7 +10,9 @@ The last token up to a position is the only token ending there whose pair with t
 before it stays unmerged, so states need nothing else. States are compiled when first met.
 
 Special strings are cut out first, one token each, as the library does. Null text: as empty.
-Empty text: 0 tokens. Texts of any length are counted whole.
+Empty text: 0 tokens. Texts of any length are counted whole, also a single pre-token of any length:
+the machine forgets states on the way. Repeated rows repeat, a missing id stays missing, an empty
+table gives no rows, and only the key and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from storyweft.llm import byte_pairs, pretokens
 from storyweft.llm.columns import pieces_of_batch, table
 
-#: States a worker keeps (about 1.3 kB each); beyond it the machine is compiled anew.
-MAX_STATES = 90_000
+#: States a worker keeps (1.3 kB each); beyond it the machine is compiled anew from the states that
+#: are being run through, SLICES of them at most.
+MAX_STATES, SLICES = 60_000, 4096
 
 
 class Transducer:
@@ -101,25 +104,41 @@ class Transducer:
             at = self.link[at]
         added = found[1]
         made = (to, (*((t, c - added) for t, c in kept), (found[0], 0)))
+        to = self.numbered(made)
+        self.next[state, b], self.adds[state, b] = to, added
+
+    def restart(self, state: np.ndarray) -> np.ndarray:
+        """Forgets all states but these; their new numbers."""
+        kept, place = np.unique(state, return_inverse=True)
+        kept = [self.states[k] for k in kept.tolist()]
+        self.reset()
+        return np.array([self.numbered(made) for made in kept], np.int64)[place]
+
+    def numbered(self, made: tuple) -> int:
         if made not in self.number:
             self.number[made] = len(self.states)
             self.states.append(made)
             if len(self.states) > len(self.next):
-                more = len(self.next)
+                more = min(len(self.next), 16384)
                 self.next = np.concatenate([self.next, np.full((more, 256), -1, np.int32)])
                 self.adds = np.concatenate([self.adds, np.zeros((more, 256), np.int8)])
-        self.next[state, b], self.adds[state, b] = self.number[made], added
+        return self.number[made]
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each slice, SLICES at a time."""
+        parts = [self._count(data, starts[a : a + SLICES], ends[a : a + SLICES]) for a in range(0, len(starts), SLICES)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each slice; all slices advance together, the longest first."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
         size = ends - starts
         order = np.argsort(-size, kind="stable")
         first, left = starts[order], np.sort(size)
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         active = len(left) - np.searchsorted(left, np.arange(1, int(left[-1]) + 1 if len(left) else 1), "left")
         for k, n in enumerate(active.tolist()):
+            if len(self.states) > MAX_STATES:
+                state[:n] = self.restart(state[:n])
             where = (state[:n] << 8) | data[first[:n] + k]
             to = self.next.ravel()[where]
             if (new := np.flatnonzero(to < 0)).size:
@@ -133,11 +152,14 @@ class Transducer:
         return out
 
 
-@lru_cache(1)
-def _machine(path: str) -> tuple[Transducer, byte_pairs.WordCache, list[bytes]]:
-    """The compiled machine, the counts of the pre-tokens it has run over, the special strings."""
+def specials_of(path: str) -> list[bytes]:
     with open(path, encoding="utf-8") as f:
-        specials = [t["content"].encode() for t in json.load(f)["added_tokens"]]
+        return [t["content"].encode() for t in json.load(f)["added_tokens"]]
+
+
+@lru_cache(1)
+def compiled(path: str) -> tuple[byte_pairs.WordCache, list[bytes]]:
+    """The counts of the pre-tokens that the compiled machine has run over, the special strings."""
     machine = Transducer(*byte_pairs.vocabulary_of(path))
 
     def run(words: list[bytes]) -> list[int]:
@@ -145,7 +167,7 @@ def _machine(path: str) -> tuple[Transducer, byte_pairs.WordCache, list[bytes]]:
         starts = np.concatenate([[0], ends[:-1]])
         return machine.count(np.frombuffer(b"".join(words), np.uint8), starts, ends).tolist()
 
-    return machine, byte_pairs.WordCache(run), specials
+    return byte_pairs.WordCache(run), specials_of(path)
 
 
 def _without_specials(data: np.ndarray, offsets: np.ndarray, specials: list[bytes]):
@@ -166,8 +188,9 @@ def _without_specials(data: np.ndarray, offsets: np.ndarray, specials: list[byte
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.array(owner), found
 
 
-def count_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
-    _, cache, specials = _machine(path)
+def count_texts(data: np.ndarray, offsets: np.ndarray, path: str, counter=compiled) -> np.ndarray:
+    """Tokens of each text; counter(path) gives a cache of pre-tokens' counts and the special strings."""
+    cache, specials = counter(path)
     data, cuts, owner, out = _without_specials(data, offsets, specials)
     starts, _, counts = pretokens.boundaries(data, cuts)
     sums = np.concatenate([[0], np.cumsum(np.array(cache.of(pretokens.slices(data, starts)), np.int64))])

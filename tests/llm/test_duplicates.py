@@ -103,10 +103,30 @@ def test_near_edges(spark):
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 1, 1)]
 
 
-def test_depth_meets_the_recall():
-    d = shingle_join.depth_for()
-    chance = lambda k: 1 - (1 - shingle_join.THRESHOLD**k) ** shingle_join.TREES
-    assert chance(d) >= shingle_join.RECALL > chance(d + 1)
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    one = np.ones(1)
+    for likeness in (0.8, 0.9, 0.97):
+        d = shingle_join.depth_for(np.array([likeness]), one)
+        chance = lambda k: 1 - (1 - likeness**k) ** shingle_join.TREES  # noqa: E731, B023
+        assert chance(d) >= shingle_join.RECALL and (d == shingle_join.DEEPEST or chance(d + 1) < shingle_join.RECALL)
+    assert shingle_join.depth_for(np.array([0.97]), one) == shingle_join.DEEPEST
+    assert shingle_join.depth_for(np.array([0.3]), one) == shingle_join.SHALLOWEST
+
+
+def test_depth_is_measured_on_the_corpus(spark):
+    rng, depth = random.Random(9), {}
+    for edits in (1, 9):
+        rows = []
+        for k in range(40):
+            words = prose(rng, 400).split()
+            copy = words[:]
+            for e in range(edits):
+                copy[20 + e * 40] = f"edit{k}x{e}"
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        signed = shingle_join.signatures(frame(spark, rows), 5, shingle_join.TREES)
+        leaves = signed.select(F.col("doc_id").alias("node"), "labels", F.posexplode("labels").alias("tree", "label"))
+        depth[edits] = shingle_join.measured_depth(leaves, 0.8, shingle_join.TREES, shingle_join.RECALL)
+    assert depth[1] > depth[9] >= shingle_join.SHALLOWEST
 
 
 def test_components_of_a_long_chain(spark):
@@ -178,10 +198,42 @@ def test_similar_pairs_against_brute_force(spark):
 
 def test_minhash_recall_of_planted_pairs():
     rng = np.random.default_rng(3)
-    depth, hit = shingle_join.depth_for(), 0
+    depth, hit = shingle_join.depth_for(np.array([0.8]), np.ones(1)), 0
     for _ in range(200):
         both = rng.integers(0, 1 << 63, 90, np.uint64)
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 11, np.uint64)])) for _ in range(2))
-        keys = shingle_join.prefix_keys([a, b], shingle_join.TREES, depth)
+        keys = shingle_join.labels_of([a, b], shingle_join.TREES).view(np.uint64) >> np.uint64(8 * (shingle_join.DEEPEST - depth))
         hit += bool((keys[0] == keys[1]).any())
-    assert hit >= 199
+    assert hit == 200
+
+
+def test_near_rows_of_one_id_and_of_none(spark):
+    rng = random.Random(12)
+    base, other = prose(rng, 120), prose(rng, 120)
+    near = base.replace(base.split()[60], "edited", 1)
+    rows = [(1, base), (5, near), (5, other), (5, other), (None, near + " tail"), (None, other), (None, "zz"), (None, "zz"), (9, None), (9, "")]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in shingle_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted([(1, 1, 2), (5, 1, 2), (5, 5, 2), (5, 5, 2), (0, 1, 2), (0, 5, 2), (0, 0, 1), (0, 0, 1), (9, 9, 0), (9, 9, 0)])
+    left = sorted((r.doc_id or 0, r.text or "") for r in shingle_join.keep_first(frame(spark, rows)).collect())
+    assert left == sorted([(1, base), (5, other), (0, "zz"), (9, "")])
+
+
+def test_blocks_are_bounded_by_bytes_too(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK_BYTES", 2000)
+    rows = near_rows(77)
+    wanted = brute_near(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in shingle_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == wanted
+
+
+def test_unsettled_components_raise(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        shingle_join.components(edges, most_rounds=1)
+
+
+def test_rows_that_stay_after_exact_dedup(spark):
+    rows = [(1, "alpha beta"), (5, "alpha beta"), (5, "only here"), (5, "only here"), (None, "q"), (None, "q"), (None, "alpha  beta"), (7, None), (8, "")]
+    left = exact_dedup.keep_first(frame(spark, rows))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "q"), (1, "alpha beta"), (5, "only here"), (7, "")]
+    assert left.columns == frame(spark, rows).columns and exact_dedup.keep_first(frame(spark, rows).where("doc_id > 99")).count() == 0

@@ -76,6 +76,28 @@ def test_transducer_on_random_words(library):
     assert got.tolist() == [len(library.encode(w).ids) for w in words]
 
 
+@pytest.mark.parametrize("most", [1, 50, 2000])
+def test_states_are_bounded_inside_a_call(library, monkeypatch, most):
+    monkeypatch.setattr(token_counts, "MAX_STATES", most)
+    monkeypatch.setattr(token_counts, "SLICES", 30)
+    rng = np.random.default_rng(5)
+    machine = token_counts.Transducer(*byte_pairs.vocabulary_of(byte_pairs.default_json()))
+    words = ["".join(rng.choice([*"etaoinshrdluxyz"], n)) for n in [*rng.integers(1, 30, 100), 6000]]
+    ends = np.cumsum([len(w) for w in words])
+    got = machine.count(np.frombuffer("".join(words).encode(), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    assert got.tolist() == [len(library.encode(w).ids) for w in words]
+    assert len(machine.states) <= most + 2 * 30 * 2 and len(machine.next) <= 1024 + 16384
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(byte_pairs, "CACHE_BYTES", 1000)
+    cache = byte_pairs.WordCache(lambda words: [len(w) for w in words])
+    for k in range(50):
+        words = [b"%d" % (k * 10 + j) for j in range(10)] + [b"x" * 5000]
+        assert cache.of(words) == [len(w) for w in words]
+        assert len(cache) <= 20 and b"x" * 5000 not in cache
+
+
 def test_long_merge_equals_short(library):
     ranks = byte_pairs.ranks_of(byte_pairs.default_ranks())
     rank_of = lambda a, b: ranks.get(a + b)
