@@ -2,8 +2,9 @@
 each near-duplicate class; what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents. A row
-without doc_id passes the two dedup stages, which decide by doc_id.
+read again as the next one's docs. All but the last return the columns of documents. Stages decide
+about rows, told by doc_id and text: another text of a dropped row's id stays, equal rows of one id
+or of none become one row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from storyweft.llm import exact_dedup, packing, shingle_join, toxicity
 from storyweft.llm.columns import shared_dir, table
@@ -24,14 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
-    dropped = exact_dedup.exact_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class, the row with the smallest doc_id."""
-    dropped = shingle_join.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return shingle_join.keep_first(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
