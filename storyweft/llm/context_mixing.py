@@ -2,32 +2,41 @@
 
 A text is its tokens (words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased) with a space between and a
 line end behind, byte for byte; a byte is eight binary decisions. ORDERS contexts, the last 1 to 5
-bytes and the bytes of the word so far (its last 5), each know how often a decision came out 0 and 1 in all
-training texts. A context predicts a logit; the logits are added with weights gated by the
-decision's place in the byte and by how much the context has seen. A last stage refines the mixed
-probability by the longest context seen. Minus the sum of the decisions' log2 probabilities is the
-text's bits.
+bytes and the bytes of the word so far (its last 5), each know how often a decision came out 0 and 1
+in all training texts. A context predicts a logit; the logits are added with weights gated by the
+decision's place in the byte and by how much the context has seen. A stage behind it refines the
+mixed probability by the longest context seen.
+
+A last predictor knows long contexts. Texts are cut into chunks behind tokens chosen by their hash,
+one in EVERY; a chunk's context is the whole chunk before it. It predicts the chunks that followed
+this context in other texts, by their share. Its probability of a chunk and that of the chunk's bits
+are averaged; its weight is gated by how often the context was seen, and is the share of training
+chunks that it foretold. Minus log2 of the chunks' probabilities is the text's bits.
 
 Training texts are those whose crc32(doc_id as text) mod 10 is not 0; all of them are counted and
 all of them train the weights. Remainders 1 to 3, 4 to 6 and 7 to 9 are FOLDS; while the weights
-and the last stage learn from a fold, its own counts are left out, so that they see contexts as a
-new text does. The scored texts see the model with all counts: a text's score does not depend on
-other scored texts.
-
-Contexts are counted exactly. Distinct windows (a byte and the 5 before it) are summed up in a
-shared table; contexts of 3 bytes and more are counted where the windows of the same last 3 bytes
-meet, shorter ones (2^24 pairs at most) go to all workers. Weights are learnt per part of that
-table, from all its windows, and averaged by how often each was used. A window's bits are worked
-out once in the corpus; bits of the TOP_WINDOWS windows at most that occur most often go to the
-workers, all others are joined.
+and the stage behind them learn from a fold, its own counts are left out, so that they see contexts
+as a new text does. The scored texts see the bit predictors with all counts. The chunk predictor
+always leaves a text's own chunks out: a text is foretold by other training texts only, those of
+equal content included. A score does not depend on held-out texts.
+
+Contexts are counted exactly, in tables that grow with the corpus. Distinct windows (a byte and the
+5 before it) are summed up in a shared table; contexts of 3 bytes and more are counted where the
+windows of the same last 3 bytes meet, shorter ones (2^24 pairs at most) go to all workers. Weights
+are learnt per part of that table, from all its windows, and averaged by how often each was used. A
+window's bits are worked out once in the corpus; bits of the TOP_WINDOWS windows at most that occur
+most often go to the workers, all others are joined. Chunks and their contexts are 64-bit hashes in
+a table of those that occur twice and more; a filter of FILTER_BITS bits spares most of the others a
+join, and changes no result however full it is.
 
 The base score uses token counts of all training texts (remainders 1 to 9). Tokens are told apart
 by 64-bit hashes. Counts of the TOP tokens at most that occur most often go to the workers; all
 others are joined in Spark.
 
-Null text: as empty; an empty text has one token, the end. A row without doc_id is held out. doc_id is taken to be unique: rows that
-repeat an id share the sum of their rarer tokens and windows. With no training
-texts every count is 0 and each decision has probability 1/2.
+Null text: as empty; an empty text has one token, the end. A text of any length is scored whole. A
+row without doc_id is held out. Rows are scored one by one: those that repeat an id, or an id and
+text, each have their own score. With no training texts every count is 0 and each decision has
+probability 1/2. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -38,22 +47,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyweft.llm.columns import partitions, pieces_of_batch, stored, table
-from storyweft.llm.words import LOWERED, mix, slice_hashes, word_places
+from storyweft.llm.words import LOWERED, mix, run_hashes, slice_hashes, word_places
 
 WINDOW, ORDERS = 6, 6  # bytes of a window with its last one; contexts of 1 to 5 bytes and the word
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
-CONFIDENCES, BINS, RATE = 16, 33, 0.01
+CONFIDENCES, BINS = 16, 33
 TOP, TOP_WINDOWS = 1 << 19, 1 << 20
 #: Parts of the training texts, and counts without each of them beside the whole ones.
 FOLDS = 3
 VARIANTS = FOLDS + 1
 #: Rounds of learning and averaging, passes over a part in each, windows of a part.
-LEARNING, PASSES, PART = 2, 6, 1 << 16
+LEARNING, PASSES, PART = 2, 3, 1 << 16
+#: Tokens of a chunk, on average, and the size of the filter of contexts that occur twice.
+EVERY, FILTER_BITS = 16, 1 << 26
 #: Text bytes handled at once, and distinct windows or tokens gathered before they are merged.
 STEP, PENDING = 4 << 20, 1 << 21
 END = 10
@@ -67,21 +77,41 @@ def remainder(keys: pa.Array) -> np.ndarray:
 
 def canonical(data: np.ndarray, offsets: np.ndarray):
     """(bytes of the canonical texts, where each begins and the end, token hashes, tokens before
-    each text), without the end tokens."""
+    each text), without the end tokens, and the texts' entries: hashes, ends in the bytes, entries
+    before each text. Entries are the tokens, or one of hash 0 for a text without any."""
     low = LOWERED[data]
     starts, ends, counts = word_places(low, offsets)
     hashes = slice_hashes(low, starts, ends)
     n = np.diff(counts)
-    empty = np.flatnonzero(n == 0)
-    starts, ends = np.insert(starts, counts[:-1][empty], 0), np.insert(ends, counts[:-1][empty], 0)
-    last = np.cumsum(np.maximum(n, 1)) - 1
+    empty = counts[:-1][n == 0]
+    starts, ends = np.insert(starts, empty, 0), np.insert(ends, empty, 0)
+    before = np.concatenate([[0], np.cumsum(np.maximum(n, 1))])
+    last = before[1:] - 1
     size = ends - starts + 1
     to = np.cumsum(size)
     at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - (to - size), size)
     out = np.append(low, np.uint8(0))[np.minimum(at, len(low))]
     out[to - 1] = 32
     out[to[last] - 1] = END
-    return out, np.concatenate([[0], to[last]]) if len(last) else np.zeros(1, np.int64), hashes, counts
+    begins = np.concatenate([[0], to[last]]) if len(last) else np.zeros(1, np.int64)
+    return out, begins, hashes, counts, (np.insert(hashes, empty, np.uint64(0)), to, before)
+
+
+def chunks_of(entries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of each chunk, text of each chunk, its context's key, its own key behind that context);
+    the first chunk of a text has no context, and keys 0."""
+    hashes, to, before = entries
+    last = (hashes >> np.uint64(20)) % np.uint64(EVERY) == 0
+    last[before[1:] - 1] = True
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    ahead = np.searchsorted(ends, before, "right")
+    own = run_hashes(hashes, starts, ends)
+    context = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
+    pair = mix(context * np.uint64(0x9E3779B97F4A7C15) + own)
+    context, pair = mix(context + np.uint64(EVERY)), pair
+    context[ahead[:-1]] = pair[ahead[:-1]] = 0
+    return np.diff(np.concatenate([[0], to[ends - 1]])), np.repeat(np.arange(len(before) - 1), np.diff(ahead)), context, pair
 
 
 def windows(text: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -109,35 +139,6 @@ def contexts(keys: np.ndarray) -> list[np.ndarray]:
     return [*out, word]
 
 
-def slots(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = context * np.uint64(0x9E3779B97F4A7C15) + (node + 256 * (order + 1)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-class Counts:
-    """How often each slot's decision came out 0 and 1."""
-
-    def __init__(self):
-        self.seen = np.zeros((ORDERS, 2, SLOTS), np.int32)
-
-    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
-        """Adds distinct windows with their numbers, shorter contexts after merging equal ones."""
-        for order in [ORDERS - 1, *range(ORDERS - 2, -1, -1)]:
-            if order == ORDERS - 1:
-                pair, n = contexts(keys)[order] << np.uint64(8) | keys & np.uint64(255), times
-                pair, n = merged(pair, n)
-            else:
-                keys, times = merged(keys & np.uint64((1 << (8 * (order + 2))) - 1), times)
-                pair, n = keys, times
-            context, byte = pair >> np.uint64(8), (pair & np.uint64(255)).astype(np.int64)
-            for bit in range(8):
-                node, out = (256 | byte) >> (8 - bit), (byte >> (7 - bit)) & 1
-                where = slots(order, context, node) + out * SLOTS
-                self.seen[order] += np.bincount(where, n, 2 * SLOTS).astype(np.int32).reshape(2, SLOTS)
-
-
 def merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, times = keys[order], times[order]
@@ -159,16 +160,21 @@ GATHERED = "kind int, key long, n long, " + ", ".join(f"{c} long" for c in FOLD_
 
 def gather(docs: DataFrame) -> DataFrame:
     """kind 0: a token's hash and count in the training texts of a task; kind 1: a window of a
-    task's texts with its counts by fold, which are 0 if only held-out texts have it."""
+    task's texts with its counts by fold, which are 0 if only held-out texts have it; kinds 2 and 3:
+    a chunk's context, and a chunk behind its context, with counts in training texts (n) and all (n0)."""
     names = [c.split()[0] for c in GATHERED.split(", ")]
 
+    def rows(kind, keys, *counts):
+        counts = [*map(pa.array, counts)]
+        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), *counts, *[pa.nulls(len(keys), pa.int64())] * (1 + FOLDS - len(counts))], names)
+
     def run(batches):
-        words, n_words, seen, n_seen = [], [], [], []
+        words, n_words, seen, n_seen, long = [], [], [], [], {2: [], 3: []}
 
         def tokens():
             keys, n = merged(np.concatenate(words), np.concatenate(n_words))
             words[:], n_words[:] = [], []
-            return pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(n), *[pa.nulls(len(keys), pa.int64())] * FOLDS], names)
+            return rows(0, keys, n)
 
         def found():
             packed, n = seen[0], n_seen[0]
@@ -183,9 +189,18 @@ def gather(docs: DataFrame) -> DataFrame:
             keys, n = merged(np.concatenate(seen), np.concatenate(n_seen))
             seen[:], n_seen[:] = [keys], [n]
 
+        def passages():
+            for kind, held in long.items():
+                if held:
+                    packed = np.concatenate(held)
+                    held.clear()
+                    keys, where = np.unique(packed >> np.uint64(1), return_inverse=True)
+                    learn = np.bincount(where, packed & np.uint64(1), len(keys)).astype(np.int64)
+                    yield rows(kind, keys, learn, np.bincount(where, minlength=len(keys)))
+
         for batch in batches:
             for keys, data, offsets in pieces_of_batch(batch, limit=STEP):
-                text, begins, hashes, at = canonical(data, offsets)
+                text, begins, hashes, at, entries = canonical(data, offsets)
                 left = remainder(keys)
                 learn = np.repeat(left != 0, np.diff(at))
                 distinct, n = np.unique(hashes[learn], return_counts=True)
@@ -194,17 +209,25 @@ def gather(docs: DataFrame) -> DataFrame:
                 fold = np.where(left == 0, FOLDS, (left - 1) // 3).astype(np.uint64)
                 distinct, n = np.unique(windows(text, begins) << np.uint64(2) | np.repeat(fold, np.diff(begins)), return_counts=True)
                 seen.append(distinct), n_seen.append(n)
+                _, text_of, context, pair = chunks_of(entries)
+                has = context != 0
+                learn = (left[text_of[has]] != 0).astype(np.uint64)
+                for kind, hashed in ((2, context), (3, pair)):  # 63 bits of a key, whether it is of a training text
+                    long[kind].append(hashed[has] << np.uint64(1) | learn)
                 if sum(map(len, seen)) > PENDING:
                     whole()
                     if len(seen[0]) > PENDING // 2:
                         yield found()
                 if sum(map(len, words)) > PENDING:
                     yield tokens()
+                if sum(map(len, long[2])) > PENDING // 2:
+                    yield from passages()
         if words:
             yield tokens()
         if seen:
             whole()
             yield found()
+        yield from passages()
 
     return docs.select("doc_id", "text").mapInArrow(run, GATHERED)
 
@@ -418,17 +441,6 @@ class Lookup:
         return out
 
 
-# the same mixing for texts that fit in memory, by hashed slots (Counts)
-
-
-def decisions(keys: np.ndarray, slot: np.ndarray, bit: int, cached: list[np.ndarray]):
-    """(logits (ORDERS, n), confidences (ORDERS, n), outcomes) of one decision of each window."""
-    byte = (keys & np.uint64(255)).astype(np.int64)
-    node = (256 | byte) >> (8 - bit)
-    got = np.stack([slot[k][slots(k, cached[k], node)] for k in range(ORDERS)])
-    return (got >> 8).astype(np.uint8).view(np.int8).astype(np.float32) / 16, (got & 255).astype(np.int64), (byte >> (7 - bit)) & 1
-
-
 def _mixed(logits, confidences, weights, bit):
     chosen = weights[bit][np.arange(ORDERS)[:, None], confidences]
     return (chosen * logits).sum(0)
@@ -456,66 +468,10 @@ def fresh() -> tuple[np.ndarray, np.ndarray]:
     return weights, stage
 
 
-def learn(texts: list[str], slot: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and last stage after one online pass over texts, chunk windows at a time."""
-    weights, stage = fresh()
-    raw = [t.encode() for t in texts]
-    text, begins, _, _ = canonical(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    keys = windows(text, begins)
-    index = np.arange(ORDERS)[:, None]
-    for a in range(0, len(keys), chunk):
-        some = keys[a : a + chunk]
-        cached, rate = contexts(some), RATE * (1 - a / len(keys))
-        for bit in range(8):
-            logits, confidences, out = decisions(some, slot, bit, cached)
-            logit, longest = _mixed(logits, confidences, weights, bit), _longest(confidences)
-            _, low, part = _refined(logit, stage, longest)
-            error = out - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            flat = (index * CONFIDENCES + confidences).ravel()
-            slope = np.bincount(flat, (error * logits).ravel(), ORDERS * CONFIDENCES)
-            n = np.bincount(flat, np.broadcast_to(1.0, confidences.shape).ravel(), ORDERS * CONFIDENCES)
-            weights[bit] += (rate * slope / np.sqrt(n + 1)).reshape(ORDERS, CONFIDENCES)
-            for where, share in ((low, 1 - part), (low + 1, part)):
-                cell = longest * (BINS + 1) + where
-                hits = np.bincount(cell, share, stage.size)
-                ones = np.bincount(cell, share * out, stage.size)
-                pace = hits / (hits + 200)
-                stage += (pace * (ones / np.maximum(hits, 1e-9) - stage.ravel())).reshape(stage.shape) * (hits > 0).reshape(stage.shape)
-    return weights, stage
-
-
-def window_bits(keys: np.ndarray, slot: np.ndarray, weights: np.ndarray, stage: np.ndarray) -> np.ndarray:
-    """Bits of each window's byte, given what is before it."""
-    cached, total = contexts(keys), np.zeros(len(keys))
-    for bit in range(8):
-        logits, confidences, out = decisions(keys, slot, bit, cached)
-        chance, _, _ = _refined(_mixed(logits, confidences, weights, bit), stage, _longest(confidences))
-        total -= np.log2(np.where(out == 1, chance, 1 - chance))
-    return total
-
-
-def text_bits(text: np.ndarray, begins: np.ndarray, model) -> np.ndarray:
-    """Bits of each text, every distinct window worked out once: windows are sorted with the number
-    of their text in the two bytes that they leave free."""
-    out = np.zeros(len(begins) - 1)
-    for a in range(0, len(out), 1 << 16):
-        some = begins[a : a + (1 << 16) + 1]
-        size = np.diff(some)
-        packed = windows(text[some[0] : some[-1]], some - some[0]) << np.uint64(16)
-        packed |= np.repeat(np.arange(len(size), dtype=np.uint64), size)
-        packed.sort()
-        keys = packed >> np.uint64(16)
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        distinct = keys[new]
-        bits = np.concatenate([window_bits(distinct[i : i + (1 << 16)], *model) for i in range(0, len(distinct), 1 << 16)])
-        out[a : a + len(size)] = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), bits[np.cumsum(new) - 1], len(size))
-    return out
-
-
 @lru_cache(1)
 def _unpacked(name: str, holder) -> tuple:
-    tokens, counts, keys, bits = holder.value
-    return tokens, counts, Lookup(keys), bits
+    tokens, counts, keys, bits, again = holder.value
+    return tokens, counts, Lookup(keys), bits, again
 
 
 def _frequent(counts: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -547,6 +503,53 @@ def _rare(hashes: np.ndarray, owner: np.ndarray):
     return hashes[first], owner[first], np.diff(np.append(first, len(hashes)))
 
 
+def repeats(gathered: DataFrame) -> DataFrame:
+    """kind, key, n of the contexts and chunks that occur twice and more, once in a training text."""
+    found = gathered.where("kind > 1").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n0").alias("every"))
+    return stored(found.where("n > 0 AND every > 1").select("kind", "key", "n"), "chunks")
+
+
+def filter_of(twice: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, in 64-bit words; the bits of the contexts that occur twice are set."""
+    place = F.col("key").bitwiseAND(FILTER_BITS - 1)
+    one = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    got = twice.where("kind = 2").groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its text."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    size, out = np.diff(np.append(first, len(keys))), np.empty(len(keys), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
+
+
+def foretold(scored: DataFrame, twice: DataFrame, rest: DataFrame) -> DataFrame:
+    """uid and bits of each text's chunks whose context was seen (kind 3 of scored), after the last
+    predictor; rest has the bits of their rarer windows by uid and no."""
+    of = lambda kind, name: twice.where(f"kind = {kind}").select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
+    rows = scored.where("kind = 3").select("uid", "no", "key", "pair", "n", "known", "bits")
+    rows = rows.join(of(2, "key"), "key", "left").join(of(3, "pair"), "pair", "left").join(rest.where("no >= 0"), ["uid", "no"], "left")
+    seen = F.coalesce("n_key", F.lit(0)) - F.col("n")
+    hits = F.coalesce("n_pair", F.lit(0)) - F.col("known")
+    rows = rows.select("uid", (F.col("n") > 0).alias("learn"), F.greatest(seen, F.lit(0)).alias("seen"), F.greatest(hits, F.lit(0)).alias("hits"), (F.col("bits") + F.coalesce("rest_bits", F.lit(0.0))).alias("bits"))
+    rows = stored(rows, "foretold")
+    gate = F.least(F.lit(15), F.floor(F.log2("seen"))).cast("int")
+    got = rows.where("learn AND seen > 0").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.count_if(F.col("hits") > 0).alias("right")).collect()
+    weight = {r["gate"]: (r["right"] + 0.5) / (r["n"] + 1) for r in got}
+    of_gate = F.lit(0.5)
+    for g, w in sorted(weight.items()):
+        of_gate = F.when(gate == g, F.lit(float(w))).otherwise(of_gate)
+    mixed = (1 - F.col("weight")) * F.pow(F.lit(2.0), -F.col("bits")) + F.col("weight") * F.col("hits") / F.col("seen")
+    said = F.when(F.col("seen") == 0, F.col("bits")).when(F.col("hits") == 0, F.col("bits") - F.log2(1 - F.col("weight"))).otherwise(-F.log2(mixed))
+    return rows.withColumn("weight", of_gate).groupBy("uid").agg(F.sum(said).alias("chunk_bits"))
+
+
 def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
@@ -558,40 +561,63 @@ def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
     short = short_paths(found)
     parts = found.repartition(partitions(spark), "near").sortWithinPartitions("near")
     bits_of = stored(bits_table(parts, short, *trained(parts, short)), "window_bits")
-    holder, name = spark.sparkContext.broadcast((tokens, token_counts, *_frequent(bits_of, "bits", top_windows))), uuid.uuid4().hex
+    twice = repeats(gathered)
+    holder, name = spark.sparkContext.broadcast((tokens, token_counts, *_frequent(bits_of, "bits", top_windows), filter_of(twice))), uuid.uuid4().hex
     scale = np.log10(total + 0.1 * (distinct + 1))
     ends = counts.where(F.col("key") == int(END_TOKEN)).first()
     end_count = float(ends["n"]) if ends else 0.0
-    names = ["kind", "doc", "key", "n", "known", "base", "bits"]
+    schema = "kind int, uid long, no int, doc long, key long, pair long, n long, known long, base double, bits double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(count, **columns):
+        kinds = {"kind": pa.int32(), "no": pa.int32(), "base": pa.float64(), "bits": pa.float64()}
+        made = lambda x, kind: pa.nulls(count, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
+        return pa.record_batch([made(columns.get(c), kinds.get(c, pa.int64())) for c in names], names)
 
     def run(batches):
-        tokens, token_counts, lookup, window_bits = _unpacked(name, holder)
+        tokens, token_counts, lookup, window_bits, again = _unpacked(name, holder)
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for keys, data, offsets in pieces_of_batch(batch, limit=STEP // 4):
-                text, begins, hashes, at = canonical(data, offsets)
-                ids, text_of, owner = mix(windows(text, begins)), np.repeat(np.arange(len(keys)), np.diff(begins)), np.repeat(np.arange(len(keys)), np.diff(at))
+                text, begins, hashes, at, entries = canonical(data, offsets)
+                uids, uid = np.arange(uid, uid + len(keys)), uid + len(keys)
+                size, text_of, context, pair = chunks_of(entries)
+                no = np.arange(len(size)) - np.searchsorted(text_of, text_of)
+                open_ = (context != 0) & ((again[(context & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)] >> (context & np.uint64(63)) & np.uint64(1)) != 0)
+                ids, chunk = mix(windows(text, begins)), np.repeat(np.arange(len(size)), size)
                 where = lookup(ids)
                 there = where >= 0
-                bits = np.bincount(text_of[there], window_bits[where[there]], len(keys)).astype(np.float64)
+                bits = np.bincount(chunk[there], window_bits[where[there]], len(size)).astype(np.float64)
+                owner = np.repeat(np.arange(len(keys)), np.diff(at))
                 place = np.minimum(np.searchsorted(tokens, hashes), max(0, len(tokens) - 1)) if len(tokens) else np.zeros(len(hashes), np.int64)
                 hit = tokens[place] == hashes if len(tokens) else np.zeros(len(hashes), bool)
                 base = np.bincount(owner[hit], np.log10(token_counts[place[hit]] + 0.1), len(keys)) + np.log10(end_count + 0.1)
                 known = np.bincount(owner[hit], minlength=len(keys)) + int(end_count > 0)
-                yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), keys, pa.nulls(len(keys), pa.int64()), pa.array(np.diff(at) + 1), pa.array(known), pa.array(base), pa.array(bits)], names)
-                for kind, rest in ((1, _rare(hashes[~hit], owner[~hit])), (2, _rare(ids[~there], text_of[~there]))):
-                    what, whose, times = rest
-                    n = len(what)
-                    yield pa.record_batch([pa.array(np.full(n, kind, np.int32)), keys.take(pa.array(whose)), pa.array(what.view(np.int64)), pa.array(times), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names)
-
-    scored = stored(docs.select("doc_id", "text").mapInArrow(run, "kind int, doc long, key long, n long, known long, base double, bits double"), "scored")
-    of_kind = lambda kind: scored.where(F.col("kind") == kind).select("doc", "key", F.col("n").alias("times"))
-    rest = of_kind(1).join(counts, "key", "left").groupBy("doc").agg(
+                closed = np.bincount(text_of[~open_], bits[~open_], len(keys)).astype(np.float64)
+                yield rows(len(keys), kind=np.zeros(len(keys), np.int32), uid=uids, doc=keys, n=np.diff(at) + 1, known=known, base=base, bits=closed)
+                what, whose, times = _rare(hashes[~hit], owner[~hit])
+                yield rows(len(what), kind=np.full(len(what), 1), uid=uids[whose], key=what.view(np.int64), n=times)
+                part = np.where(open_, np.arange(len(size)), len(size) + text_of)  # windows of closed chunks go to their text
+                what, whose, times = _rare(ids[~there], part[chunk[~there]])
+                of_text = whose >= len(size)
+                whose_chunk = np.where(of_text, 0, whose)
+                yield rows(len(what), kind=np.full(len(what), 2), uid=uids[np.where(of_text, whose - len(size), text_of[whose_chunk])], no=np.where(of_text, -1, no[whose_chunk]), key=what.view(np.int64), n=times)
+                learn = (remainder(keys) != 0)[text_of]
+                own, own_pair = (np.where(learn, _own(x, text_of), 0)[open_] for x in (context, pair))
+                short = lambda x: (x[open_] & np.uint64((1 << 63) - 1)).astype(np.int64)
+                yield rows(int(open_.sum()), kind=np.full(int(open_.sum()), 3), uid=uids[text_of[open_]], no=no[open_], key=short(context), pair=short(pair), n=own, known=own_pair, bits=bits[open_])
+
+    scored = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
+    of_kind = lambda kind: scored.where(F.col("kind") == kind).select("uid", "no", "key", F.col("n").alias("times"))
+    rest = of_kind(1).join(counts, "key", "left").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
     )
-    rest_bits = of_kind(2).join(bits_of.select("key", F.col("bits").alias("each")), "key").groupBy(F.col("doc").alias("whose")).agg(F.sum(F.col("times") * F.col("each")).alias("rest_bits"))
-    whole = scored.where("kind = 0").select("doc", "n", "known", "base", "bits").join(rest.withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of")), "left")
-    whole = whole.join(rest_bits, F.col("doc").eqNullSafe(F.col("whose")), "left")
+    rest_bits = of_kind(2).join(bits_of.select("key", F.col("bits").alias("each")), "key").groupBy("uid", "no").agg(F.sum(F.col("times") * F.col("each")).alias("rest_bits"))
+    rest_bits = stored(rest_bits, "rest_bits")
+    whole = scored.where("kind = 0").select("uid", "doc", "n", "known", "base", "bits").join(rest, "uid", "left")
+    whole = whole.join(rest_bits.where("no < 0").select("uid", "rest_bits"), "uid", "left").join(foretold(scored, twice, rest_bits), "uid", "left")
+    bits = F.col("bits") + F.coalesce("rest_bits", F.lit(0.0)) + F.coalesce("chunk_bits", F.lit(0.0))
     return whole.select(
         F.col("doc").alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc").cast("string").cast("binary")) % 10 == 0, F.lit(True)).alias("held_out"),
@@ -599,7 +625,7 @@ def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest_base", F.lit(0.0)) - F.col("n") * F.lit(float(scale))).alias("base_score"),
-        ((F.col("bits") + F.coalesce("rest_bits", F.lit(0.0))) * F.lit(-float(np.log10(2)))).alias("score"),
+        (bits * F.lit(-float(np.log10(2)))).alias("score"),
     )
 
 

@@ -45,6 +45,16 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of hashes, in their order."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_places(data: np.ndarray, offsets: np.ndarray, separator: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each text; n + 1 values) of the words of each text."""
     inside = data != separator

@@ -183,21 +183,144 @@ def test_base_score_against_brute_force(spark, monkeypatch):
     assert mean(held, "score") > -6  # random bytes would be below -10
 
 
-def test_mixing_is_a_probability():
-    texts = ["the cat sat on the mat " * 20, "a dog and a cat " * 10]
-    raw = [t.encode() for t in texts]
-    text, begins, _, _ = context_mixing.canonical(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    counts = context_mixing.Counts()
-    counts.add(*np.unique(context_mixing.windows(text, begins), return_counts=True))
-    assert counts.seen[0].sum() == 8 * len(text)
-    slot = np.stack([context_mixing.quantised(*counts.seen[k]) for k in range(context_mixing.ORDERS)])
-    weights, stage = context_mixing.learn(texts, slot)
-    before = np.uint64(int.from_bytes(b"the c", "big")) << np.uint64(8)
-    keys = before | np.arange(256, dtype=np.uint64)
-    assert abs((2.0 ** -context_mixing.window_bits(keys, slot, weights, stage)).sum() - 1) < 1e-6
-    bits = context_mixing.text_bits(text, begins, (slot, weights, stage))
-    one = [context_mixing.window_bits(context_mixing.windows(text[a:b], np.array([0, b - a])), slot, weights, stage).sum() for a, b in zip(begins, begins[1:])]
-    assert np.allclose(bits, one) and bits.sum() / len(text) < 2
+def test_mixing_is_a_probability(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    keys = (np.uint64(int.from_bytes(b"the c", "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    t = pa.table({"window": keys.astype(np.int64), "near": (keys >> np.uint64(8)).astype(np.int64) & 0xFFFFFF, **{f"n{k}": rng.integers(0, 4, 256) for k in range(3)}})
+    short = context_mixing.short_paths(spark.createDataFrame(t.select(["window", "n0", "n1", "n2"]).to_pandas()))
+    weights, stage = context_mixing.fresh()
+    weights += rng.normal(0, 0.2, weights.shape).astype(np.float32)
+    bits = context_mixing.said_bits(context_mixing.said_of(t, short)[:, :, 0], (keys & np.uint64(255)).astype(np.int64), weights, stage)
+    assert abs((2.0**-bits).sum() - 1) < 1e-6
+
+
+def plain_bits(texts, training, weights, stage):
+    """Bits of each byte of each text, decision by decision, contexts as byte strings."""
+    end, counts = context_mixing.END, {}
+
+    def seen(before):
+        word = b""
+        for c in before[: -context_mixing.WINDOW : -1]:
+            if c in (32, end):
+                break
+            word = bytes([c]) + word
+        return [before[-k:] for k in range(1, context_mixing.WINDOW)] + [b"w" + word]
+
+    def steps(text):
+        padded = bytes([end]) * context_mixing.WINDOW + text
+        for i, byte in enumerate(text):
+            yield seen(padded[: i + context_mixing.WINDOW]), byte
+
+    for text, learn in zip(texts, training):
+        for contexts, byte in steps(text) if learn else ():
+            for order, context in enumerate(contexts):
+                for bit in range(8):
+                    key = (order, context, (256 | byte) >> (8 - bit))
+                    counts.setdefault(key, [0, 0])[(byte >> (7 - bit)) & 1] += 1
+    out = []
+    for text in texts:
+        out.append([])
+        for contexts, byte in steps(text):
+            total = 0.0
+            for bit in range(8):
+                logit, longest = 0.0, 0
+                for order, context in enumerate(contexts):
+                    zeros, ones = counts.get((order, context, (256 | byte) >> (8 - bit)), (0, 0))
+                    n = zeros + ones
+                    q = np.clip(np.rint(16 * np.log((ones + 0.02 + 0.2 * (n == 0)) / (zeros + 0.02 + 0.2 * (n == 0)))), -127, 127) / 16
+                    confidence = 0 if n == 0 else min(context_mixing.CONFIDENCES - 1, 1 + int(np.log2(n)))
+                    logit += float(weights[bit, order, confidence]) * q
+                    longest += order < context_mixing.WINDOW - 1 and confidence > 0
+                place = min(max(logit, -7.999), 7.999) * 2 + context_mixing.BINS // 2
+                low = int(place)
+                refined = stage[longest, low] * (1 - place + low) + stage[longest, low + 1] * (place - low)
+                chance = min(max((refined + 1 / (1 + np.exp(-logit))) / 2, 1e-6), 1 - 1e-6)
+                total -= np.log2(chance if (byte >> (7 - bit)) & 1 else 1 - chance)
+            out[-1].append(total)
+    return out
+
+
+def plain_scores(rows, weights, stage):
+    """log10 probabilities of all rows by the definition, chunks as tuples of words."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    training = [k is not None and zlib.crc32(str(k).encode()) % 10 > 0 for k, _ in rows]
+    texts = [" ".join(w).encode() + bytes([context_mixing.END]) for w in words]
+    hashed = lambda w: int(context_mixing.slice_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    cuts = {w: (hashed(w.encode()) >> 20) % context_mixing.EVERY == 0 for ws in words for w in ws}
+    chunks = []
+    for ws in words:
+        chunks.append([[]])
+        for w in ws:
+            if chunks[-1][-1] and cuts[chunks[-1][-1][-1]]:
+                chunks[-1].append([])
+            chunks[-1][-1].append(w)
+        chunks[-1] = [tuple(c) for c in chunks[-1]]
+    pairs = [Counter(zip(c, c[1:])) for c in chunks]
+    heads = [Counter(c[:-1]) for c in chunks]
+    add = lambda counters: sum((c for c, learn in zip(counters, training) if learn), Counter())
+    every_pair, every_head = add(pairs), add(heads)
+    seen_of = lambda i, head: every_head[head] - (heads[i][head] if training[i] else 0)
+    hits_of = lambda i, pair: every_pair[pair] - (pairs[i][pair] if training[i] else 0)
+    gates, weight = {}, lambda g: (gates[g][1] + 0.5) / (gates[g][0] + 1) if g in gates else 0.5
+    gate = lambda n: min(15, n.bit_length() - 1)
+    for i, c in enumerate(chunks):
+        for pair in zip(c, c[1:]) if training[i] else ():
+            if seen := seen_of(i, pair[0]):
+                cell = gates.setdefault(gate(seen), [0, 0])
+                cell[0] += 1
+                cell[1] += hits_of(i, pair) > 0
+    out = []
+    for i, (c, bits) in enumerate(zip(chunks, plain_bits(texts, training, weights, stage))):
+        total, at, used = 0.0, 0, 0
+        for j, chunk in enumerate(c):
+            size = max(1, sum(len(w.encode()) + 1 for w in chunk))
+            one, at = sum(bits[at : at + size]), at + size
+            seen = seen_of(i, c[j - 1]) if j else 0
+            if seen:
+                w, hits = weight(gate(seen)), hits_of(i, (c[j - 1], chunk))
+                one = -np.log2((1 - w) * 2.0**-one + w * hits / seen) if hits else one - np.log2(1 - w)
+                used += hits > 0
+            total += one
+        out.append((-total * np.log10(2), used))
+    return out
+
+
+def mixing_rows():
+    rng = random.Random(17)
+    words = [f"{a}{b}" for a in ("cat", "Dog", "bird", "é", "long", "x") for b in ("", "s", "ing", "tionary", ".")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, copy = prose(90), prose(70)
+    rows = [(k, prose(rng.randrange(40))) for k in range(20)] + [(k, prose(5) + "  " + passage + "\n" + prose(8)) for k in range(20, 26)]
+    rows += [(k, copy) for k in (30, 31, 32, 33, 40)] + [(50, None), (51, ""), (52, " \t"), (None, copy), (None, None), (53, "w" * 3000)]
+    return rows + [(60, prose(30)), (60, prose(30)), (60, rows[0][1]), (61, copy + " " + copy + " " + copy), (61, copy + " " + copy + " " + copy)]
+
+
+@pytest.mark.parametrize("top", [1 << 20, 40, 0])
+def test_score_against_a_plain_byte_by_byte_model(spark, monkeypatch, top):
+    learnt, train = [], context_mixing.trained
+    monkeypatch.setattr(context_mixing, "trained", lambda *a: learnt.append(train(*a)) or learnt[-1])
+    rows = mixing_rows()
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in context_mixing.score(frame(spark, rows), top).collect())
+    plain = plain_scores(rows, *learnt[0])
+    tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1
+    wanted = sorted((str(k), tokens(t), s) for (k, t), (s, _) in zip(rows, plain))
+    assert sum(used for _, used in plain) > 20
+    assert [g[:2] for g in got] == [w[:2] for w in wanted]
+    for g, w in zip(got, wanted):
+        assert abs(g[2] - w[2]) < 1e-4 * max(1, abs(w[2])), (g, w)
+
+
+def test_texts_that_occur_twice_are_scored_apart(spark):
+    rng = random.Random(3)
+    words = [a + b for a in ("mar", "tol", "sen", "vil", "gor", "pad") for b in ("an", "is", "ole", "ut", "em", "iri")]
+    texts = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, texts[k]) for k in range(10)]
+    got = {r.doc_id: r.score / r.n_tokens for r in context_mixing.score(frame(spark, rows)).collect()}
+    left = lambda k: zlib.crc32(str(k).encode()) % 10
+    twice = [got[a] for k in range(10) for a, b in ((k, 100 + k), (100 + k, k)) if left(b)]
+    assert min(twice) > max(got[k] for k in range(10, 60))
 
 
 def test_mixing_edges(spark):
@@ -226,13 +349,6 @@ def test_contexts_are_counted_exactly_however_many(spark):
             assert said[new, order, 0, bit] == context_mixing.quantised(np.array([zeros]), np.array([ones]))[0]
 
 
-def test_windows_beside_the_frequent_ones_are_joined(spark):
-    rng = random.Random(8)
-    rows = [(k, " ".join(rng.choice(["the", "cat", "Mat", "é", f"x{k}"]) for _ in range(rng.randrange(20)))) for k in range(60)] + [(70, None), (None, "cat")]
-    some, none = ({r.doc_id: r.score for r in context_mixing.score(frame(spark, rows), most).collect()} for most in (1 << 20, 0))
-    assert some.keys() == none.keys() and all(abs(some[k] - none[k]) < 1e-6 for k in some if k is not None)
-
-
 def test_texts_of_remainder_1_are_in_the_model(spark):
     left = lambda k: zlib.crc32(str(k).encode()) % 10
     rows = [(k, "zyxwvu qponml kjihgf" if left(k) == 1 else "abcde fghij klmno") for k in range(400) if left(k)]
