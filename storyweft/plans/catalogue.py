@@ -6,15 +6,13 @@ their time, embeddings dense vectors with a label, labels a partial ground truth
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyweft.functions import text as T
 from storyweft.functions import vectors as V
 from storyweft.operators import burst, learning, metrics, neighbors, pooling, stories, tfidf
-from storyweft.session import cut, read
+from storyweft.session import cut, read, scratch
 from storyweft.sources import datasets
 from storyweft.streaming import streams
 
@@ -496,23 +494,23 @@ def contingency(spark, d):
 # streams, run over what is there
 
 
-def _played(rows: DataFrame, mode: str, name: str) -> DataFrame:
-    name = f"{name}_{uuid.uuid4().hex}"
-    running = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return rows.sparkSession.table(name)
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
 @query(f"WITH {TOKENS} SELECT token, count(*) AS df FROM tok GROUP BY token")
 def streaming_vocabulary(spark, d):
-    return _played(streams.vocabulary_counts(_stream(spark, d, "documents")), "complete", "streaming_vocabulary")
+    """The counts after the last trigger, as each trigger's batch of complete results is written."""
+    folder = scratch(spark, "streams")
+    counts = streams.vocabulary_counts(_stream(spark, d, "documents"))
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.foreachBatch(lambda rows, trigger: rows.write.mode("overwrite").parquet(f"{folder}/counts")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("token string, df long").parquet(f"{folder}/counts")
 
 
 @query(DENSE_STORY)
 def streaming_fsd(spark, d):
     rows = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), V.doubles(F.col("embedding")).alias("vec"))
-    return _played(streams.story_stream(rows, DENSE_T, DENSE_WINDOW, BATCH), "append", "streaming_fsd")
+    online = streams.StoryTables(scratch(spark, "streams"), DENSE_T, DENSE_WINDOW, BATCH)
+    online.start(rows).awaitTermination()
+    return online.found(spark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,27 @@ def local_session(cores: str = "*", name: str = "storyweft") -> SparkSession:
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. A session on one machine that
+    names none, as in tests, gets one of its own; on a cluster there is no substitute."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the folder of spark.checkpoint.dir; a session that names
-    none, as in tests, gets one of its own."""
+    """df behind a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -43,3 +60,20 @@ def with_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFr
     ahead = size.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return placed.withColumn("_row", inside).join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_row") - 1).drop("_part", "_row", "_ahead")
+
+
+def with_running(df: DataFrame, order: tuple[str, ...], value: Column, name: str, including: bool = True) -> DataFrame:
+    """df with a running sum, minimum or maximum (value: F.sum(..), F.min(..) or F.max(..)) in the
+    given order, of all rows up to a row, itself included or not. Rows are dealt into ranges, run
+    inside each, and joined with what the ranges before come to: no task sees all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = value._jc.toString().split("(")[0]
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    whole = placed.groupBy("_part").agg(value.alias("_all"))
+    again = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ahead = whole.select("_part", again("_all").over(before).alias("_ahead"))
+    here = value.over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if including else -1))
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}[kind]
+    rows = placed.withColumn("_here", here).join(F.broadcast(ahead), "_part")
+    return rows.withColumn(name, both(F.col("_ahead"), F.col("_here"))).drop("_part", "_here", "_ahead")

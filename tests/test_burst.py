@@ -2,28 +2,47 @@ import datetime
 import math
 import random
 
+import pytest
+
 from storyweft.operators import burst, tfidf
 from storyweft.operators.pooling import mean_pool
-from storyweft.streaming.streams import OnlineBursts
 
 START = datetime.datetime(2020, 1, 1)
 
 
-def test_bursts_equal_the_stream_rules(spark):
-    rng = random.Random(9)
+def plain_bursts(rows, hours, strict):
+    """df and largest share of each token; every window is counted from its start."""
+    first, df, share = 0, {}, {}
+    for r, (sec, words) in enumerate(rows):
+        for w in words:
+            df[w] = df.get(w, 0) + 1
+        window = rows[first : r + 1]
+        for w in {*words}:
+            inside = sum(ws.count(w) for _, ws in window)
+            if any(w in ws for _, ws in rows[:first]):
+                share[w] = max(share.get(w, 0), inside / len(window))
+        passed = sec - rows[first][0]
+        if (passed if strict else passed % 86400) >= 3600 * hours:
+            first += 1
+    return df, share
+
+
+@pytest.mark.parametrize("steps", [(60, 1800, 7200), (60, 1800, 7200, 100_000, -300), (0, 0, 5, 40_000)])
+@pytest.mark.parametrize("strict", [False, True])
+def test_bursts_equal_the_rule(spark, steps, strict):
+    rng = random.Random(len(steps))
     for hours in (1, 12):
-        seconds, rows, step = 0, [], OnlineBursts(hours)
-        for r in range(120):
-            seconds = max(0, seconds + rng.choice([60, 1800, 7200, 100_000, -300]))
-            words = [rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(rng.randrange(5))]
-            rows.append((r, START + datetime.timedelta(seconds=seconds), " ".join(words)))
-            step.add(seconds, words)
-        posts = spark.createDataFrame(rows, "r long, ts timestamp, text string").repartition(3)
-        got = {x.token: x for x in burst.burst_scores(posts, hours).collect()}
-        assert set(got) == set(step.tokens)
-        for token, (df, _, fg) in step.tokens.items():
-            bg = df / len(rows)
-            assert got[token].df == df and abs(got[token].idf - (math.log((len(rows) + 1) / (df + 1)) + 1)) < 1e-12
+        seconds, rows = 0, []
+        for _ in range(120):
+            seconds = max(0, seconds + rng.choice(steps))
+            rows.append((seconds, [rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(rng.randrange(5))]))
+        posts = spark.createDataFrame([(r, START + datetime.timedelta(seconds=t), " ".join(ws)) for r, (t, ws) in enumerate(rows)], "r long, ts timestamp, text string").repartition(3)
+        got = {x.token: x for x in burst.burst_scores(posts, hours, strict).collect()}
+        df, share = plain_bursts(rows, hours, strict)
+        assert set(got) == set(df)
+        for token in df:
+            bg, fg = df[token] / len(rows), share.get(token, 0)
+            assert got[token].df == df[token] and abs(got[token].idf - (math.log((len(rows) + 1) / (df[token] + 1)) + 1)) < 1e-12
             assert abs(got[token].jlh_max - ((fg - bg) * fg / bg if fg > bg else 0)) < 1e-12
 
 
