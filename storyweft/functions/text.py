@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that become several, or that have no decomposition of their own.
+#: Characters that become several letters or marks, and letters of other scripts.
 SEVERAL = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "…": "...", "—": "--", "«": "<<", "»": ">>", "€": "EUR", "™": "tm", "ĳ": "ij", "Ĳ": "IJ"}
+SEVERAL |= {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ё": "io", "ю": "iu", "я": "ia", "є": "ie", "ї": "yi"}
+SEVERAL |= {"Ж": "Zh", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh", "Щ": "Shch", "Ё": "Io", "Ю": "Iu", "Я": "Ia", "Є": "Ie", "Ї": "Yi"}
+SEVERAL |= {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "Θ": "Th", "Φ": "Ph", "Χ": "Kh", "Ψ": "Ps"}
 SINGLE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ı": "i", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "–": "-", "‐": "-", "‑": "-", "•": "*", "¡": "!", "¿": "?", "²": "2", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
+CYRILLIC = dict(zip("абвгдезийклмнопрстуфъыьэіґ", "abvgdeziiklmnoprstuf'y'eig"))
+GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdezeiklmnxoprsstuo"))
 
 
-def _latin() -> dict[str, str]:
-    """Accented Latin letters to their base letter, by canonical decomposition."""
-    out = {}
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+@cache
+def single_letters() -> dict[str, str]:
+    """Every character that becomes one: accented letters by their base letter, and the fixed ones."""
+    out = CYRILLIC | GREEK
+    out |= {k.upper(): v.upper() for k, v in out.items() if len(k.upper()) == 1}
+    for code in (*range(0xC0, 0x250), *range(0x386, 0x3CF), *range(0x1E00, 0x2000)):
         base = unicodedata.normalize("NFD", chr(code))[0]
+        base = out.get(base, base)
         if base != chr(code) and base.isascii():
-            out[chr(code)] = base
-    return out
+            out.setdefault(chr(code), base)
+    return out | SINGLE
 
 
 def null_to_empty(text: Column) -> Column:
@@ -35,12 +44,12 @@ def remove_mentions(text: Column) -> Column:
 
 
 def to_ascii(text: Column) -> Column:
-    """Latin letters, quotes and dashes as ASCII; characters of other scripts go."""
-    single = _latin() | SINGLE
+    """Latin, Greek and Cyrillic letters, quotes and dashes as ASCII; characters of other scripts go."""
+    single = single_letters()
     out = F.translate(text, "".join(single), "".join(single.values()))
     for one, many in SEVERAL.items():
         out = F.replace(out, F.lit(one), F.lit(many))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"[^\x00-\x7F]", "")).otherwise(text)
 
 
 def split_words(text: Column) -> Column:
@@ -53,9 +62,11 @@ def drop_long_numbers(words: Column) -> Column:
 
 
 def split_hashtag(word: Column) -> Column:
-    """A word that begins with #, without it, cut where case changes; other words as they are."""
-    cut = F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    return F.when(F.startswith(word, F.lit("#")), cut).otherwise(word)
+    """A word that begins with #, without it, cut where case changes: behind a small letter, and
+    before the last of several capitals that a small letter follows. Other words stay."""
+    name = F.substring(word, F.lit(2), F.length(word))
+    parts = F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.when(F.startswith(word, F.lit("#")), parts).otherwise(word)
 
 
 def squeeze_repeats(text: Column) -> Column:
@@ -88,11 +99,15 @@ def white_split(text: Column) -> Column:
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"(?U)\s+"))
 
 
+#: Entities of posts, the ampersand last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
 def social_tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Lower-case ASCII words and mentions of a post: entities decoded, hashtags split, repeats
     squeezed, stop words (also with an apostrophe behind) left out."""
     plain = text
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, mark in ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(mark))
     spaced = F.array_join(F.transform(F.split(remove_urls(plain), r"(?U)\s+"), split_hashtag), " ")
     found = F.regexp_extract_all(F.lower(squeeze_repeats(to_ascii(spaced))), F.lit(r"@?[a-z0-9_]+'?[a-z0-9_]*"), F.lit(0))

@@ -7,20 +7,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def _hashed(seed: int, idx: str) -> Column:
+    """Eight hexadecimal digits of a hash of seed and idx."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(idx).cast("string")).cast("binary")), 1, 8)
+
+
 def half_split(rows: DataFrame, seed: int, idx: str = "idx") -> DataFrame:
-    """rows with train, true for about half of them: by the parity of a hash of seed and idx, so a
-    row's side depends on nothing else and no shuffle is needed."""
-    return rows.withColumn("train", F.pmod(F.xxhash64(F.lit(seed), F.col(idx)), F.lit(2)) == 0)
+    """rows with train, true for about half of them: by a hash of seed and idx, so a row's side
+    depends on nothing else and no shuffle is needed."""
+    return rows.withColumn("train", _hashed(seed, idx) < "80000000")
 
 
-def share_split(rows: DataFrame, share: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    left, right = rows.randomSplit([share, 1 - share], seed)
-    return left, right
+def share_split(rows: DataFrame, share: float = 0.8, seed: int = 0, idx: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """(about the share of rows, the others), by a hash of seed and idx."""
+    inside = _hashed(seed, idx) < f"{int(share * (1 << 32)):08x}" if share < 1 else F.lit(True)
+    return rows.where(inside), rows.where(~inside)
 
 
 def exact_half_split(rows: DataFrame, seed: int, idx: str = "idx", groups: int = 64) -> DataFrame:
@@ -74,14 +80,14 @@ def kernel_classifier(rows: DataFrame, seed: int = 0, landmarks: int = 200, c: f
 
 def hashing_encoder(dims: int = 16) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for pretrained encoders, for tests and for runs without models."""
-    import zlib
+    import hashlib
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
         for k, text in enumerate(texts):
             for word in text.split():
-                h = zlib.crc32(word.encode())
-                out[k, h % dims] += 1 if h & 0x10000 else -1
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                out[k, h % dims] += 1 if h // dims % 2 else -1
         return out
 
     return encode

@@ -6,6 +6,7 @@ Rows without a label are left out everywhere. A result that would divide by zero
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,30 +82,46 @@ def adjusted_rand(cells: DataFrame) -> DataFrame:
 
 
 #: ln(k!) of 0 to 9; beyond, Stirling's series is exact to about 1e-13.
-SMALL = [float(np.log(np.arange(1, k + 1)).sum()) for k in range(10)]
+SMALL = np.array([float(np.log(np.arange(1, k + 1)).sum()) for k in range(10)])
 
 
-def ln_factorial(n: Column) -> Column:
-    x = n.cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
-    return F.when(n < 10, F.get(F.array(*map(F.lit, SMALL)), n.cast("int"))).otherwise(series)
+def ln_factorial(n: np.ndarray) -> np.ndarray:
+    x = np.maximum(n, 1).astype(np.float64)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return np.where(n < 10, SMALL[np.clip(n, 0, 9)], series)
+
+
+def expected_information(a: int, b: int, total: int) -> float:
+    """Mutual information that two clusters of these sizes have by chance. Overlaps further than 14
+    deviations from their mean have no weight in a double and are left out."""
+    mean = a * b / total
+    wide = 14 * (mean * (1 - a / total) * (total - b) / max(1, total - 1)) ** 0.5 + 40
+    k = np.arange(max(1, a + b - total, int(mean - wide)), min(a, b, int(mean + wide) + 1) + 1, dtype=np.int64)
+    f = lambda n: ln_factorial(np.asarray(n, np.int64))
+    ways = f(a) + f(b) + f(total - a) + f(total - b) - f(total) - f(k) - f(a - k) - f(b - k) - f(total - a - b + k)
+    return float((k / total * np.log(total * (k / (a * b))) * np.exp(ways)).sum())
 
 
 def adjusted_mutual_info(cells: DataFrame) -> DataFrame:
     """(mi, emi, ami), with the mean of the entropies as the norm. Expected information is summed
-    per pair of distinct sizes, which are few, and not per pair of clusters."""
+    per pair of distinct sizes: those of labels are dealt out, those of predictions, of which n rows
+    have sqrt(2 n) at most, go to all tasks."""
     total = int(cells.agg(F.sum("n")).first()[0] or 0)
     n = F.lit(float(total))
     mi = F.sum(F.col("n") / n * F.log(F.col("n") * n / (F.col("n_label") * F.col("n_pred"))))
     entropy = lambda size: F.sum(-F.col("n") / n * F.log(F.col(size) / n))
-    seen = cells.agg(F.coalesce(mi, F.lit(0.0)).alias("mi"), entropy("n_label").alias("hl"), entropy("n_pred").alias("hp")).withColumn("one", F.lit(1))
-    sizes = lambda key, size, name, times: cells.groupBy(key).agg(F.first(size).alias(name)).groupBy(name).agg(F.count("*").alias(times)).withColumn("one", F.lit(1))
-    pairs = sizes("label", "n_label", "a", "ka").join(sizes("pred", "n_pred", "b", "kb"), "one")
-    k = pairs.select("a", "b", "ka", "kb", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - total), F.least("a", "b"))).alias("k"))
-    f, a, b, x, m = ln_factorial, F.col("a"), F.col("b"), F.col("k"), F.lit(total).cast("long")
-    chance = F.exp(f(a) + f(b) + f(m - a) + f(m - b) - f(m) - f(x) - f(a - x) - f(b - x) - f(m - a - b + x))
-    emi = k.agg(F.sum(F.col("ka") * F.col("kb") * x / n * F.log(n * x / (a * b)) * chance).alias("emi")).withColumn("one", F.lit(1))
-    out = seen.join(emi, "one")
+    seen = cells.agg(F.coalesce(mi, F.lit(0.0)).alias("mi"), entropy("n_label").alias("hl"), entropy("n_pred").alias("hp"))
+    sizes = lambda key, size: cells.groupBy(key).agg(F.first(size).alias("size")).groupBy("size").agg(F.count("*").alias("times"))
+    others = [(r["size"], r["times"]) for r in sizes("pred", "n_pred").collect()]  # sqrt(2 n) rows at most
+
+    def run(batches):
+        for batch in batches:
+            for a, times in zip(batch.column("size").to_pylist(), batch.column("times").to_pylist()):
+                yield pa.record_batch([pa.array([sum(times * k * expected_information(a, b, total) for b, k in others)], pa.float64())], ["emi"])
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emi = sizes("label", "n_label").repartition(parts, "size").mapInArrow(run, "emi double").agg(F.sum("emi")).first()[0]
+    out = seen.withColumn("emi", F.lit(emi).cast("double"))
     return out.select("mi", "emi", F.try_divide(F.col("mi") - F.col("emi"), (F.col("hl") + F.col("hp")) / 2 - F.col("emi")).alias("ami"))
 
 
@@ -180,8 +197,6 @@ def label_max_distances(rows: DataFrame, label: str = "label", vec: str = "vec",
     """(a, b, max_distance) of each pair of labels, own ones too. Every two rows have to meet: rows
     are dealt into blocks by a hash of idx, and each pair of blocks is one matrix product; choose
     blocks so that one fits a task."""
-    import pyarrow as pa
-
     from storyweft.functions import vectors as V
 
     mine = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,7 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, dims: int, idx: str = "doc_id
     counted = rows.groupBy("idx", "token").agg(F.count("*").alias("n"), F.first("idf").alias("idf"))
     total = F.sum("n").over(Window.partitionBy("idx"))
     known = counted.withColumn("total", total).join(vectors.select("token", "vec"), "token").where("idf is not null")
-    sums = known.select("idx", "total", F.posexplode(F.transform("vec", lambda x: x * F.col("n") * F.col("idf"))).alias("d", "x"))
-    means = sums.groupBy("idx", "d").agg((F.sum("x") / F.first("total")).alias("x"))
-    pooled = means.groupBy("idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
+    sums = known.groupBy("idx").agg(Summarizer.sum(array_to_vector("vec"), F.col("n") * F.col("idf")).alias("x"), F.first("total").alias("total"))
+    pooled = sums.select("idx", F.transform(vector_to_array("x"), lambda x: x / F.col("total")).alias("vec"))
     zeros = F.array_repeat(F.lit(0.0), dims)
     return docs.select(F.col(idx).alias("idx")).join(pooled, "idx", "left").select("idx", F.coalesce("vec", zeros).alias("vec"))

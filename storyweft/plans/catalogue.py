@@ -12,25 +12,17 @@ from pyspark.sql import functions as F
 from storyweft.functions import text as T
 from storyweft.functions import vectors as V
 from storyweft.operators import burst, learning, metrics, neighbors, pooling, stories, tfidf
+from storyweft.plans import text_sql as S
+from storyweft.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from storyweft.session import cut, read, scratch
 from storyweft.sources import datasets
 from storyweft.streaming import streams
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 BATCH, SPARSE_WINDOW, DENSE_WINDOW, SPARSE_T, DENSE_T = 8, 400, 200, 0.65, 0.65
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
+#: Texts with hashtags made of some of their words.
+TAGGED = r"regexp_replace(replace(text, chr(10), ''), '(^| )([A-Za-z]+ing)', '\1#My\2ABCofXMLFiles', 'g')"
 TOKENS = r"tok AS (SELECT DISTINCT doc_id AS idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents)"
 WEIGHTS = f"""{TOKENS}, n AS (SELECT count(*) AS n FROM documents),
 voc AS (SELECT token, count(*) AS df, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tok, n GROUP BY token HAVING count(*) > 10),
@@ -121,17 +113,18 @@ def drop_long_numbers(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(T.drop_long_numbers(T.split_words(F.col("text"))), " ").alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {S.joined(S.hashtags_split(S.split(TAGGED)))} AS text FROM documents")
 def split_hashtags(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(F.transform(T.split_words(F.replace("text", F.lit("\n"), F.lit(""))), T.split_hashtag), " ").alias("text"))
+    tagged = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("")), "(^| )([A-Za-z]+ing)", "$1#My$2ABCofXMLFiles")
+    return _docs(spark, d).select("doc_id", F.array_join(F.transform(T.split_words(tagged), T.split_hashtag), " ").alias("text"))
 
 
-@query()
+@query(f"WITH {S.squeezed('q', 'documents')} SELECT doc_id, text FROM q")
 def squeeze_repeats(spark, d):
     return _docs(spark, d).select("doc_id", T.squeeze_repeats(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"WITH {S.formatted('f', 'documents', mentions=True)} SELECT doc_id, text FROM f")
 def format_text(spark, d):
     return _docs(spark, d).select("doc_id", T.format_text(F.col("text"), remove_mention=True).alias("text"))
 
@@ -261,12 +254,12 @@ def best_match_f1(spark, d):
     return _rounded(metrics.best_match(metrics.contingency(_pairs(spark, d))), "p", "r", "f1")
 
 
-PURITY = "WITH b AS (SELECT lang AS label, doc_id % 40 AS pred FROM documents), b2 AS (SELECT CASE WHEN label = 'en' OR pred % 3 = 0 THEN label ELSE 'fr' END AS label, pred FROM b), s AS (SELECT *, count(*) OVER (PARTITION BY label) AS sl, count(*) OVER (PARTITION BY pred) AS sp FROM b2), g AS (SELECT pred, label, count(*) AS n FROM s WHERE sl >= 5 AND sp >= 5 AND pred <> -1 GROUP BY ALL), h AS (SELECT pred, max(n) / sum(n) >= 0.5 AS hit, arg_max(label, n) AS main FROM g GROUP BY pred), o AS (SELECT count_if(hit) / count(*) AS p, count(DISTINCT CASE WHEN hit THEN main END) / (SELECT count(DISTINCT label) FROM s WHERE sl >= 5) AS r FROM h)"
+PURITY = "WITH b AS (SELECT lang AS label, doc_id % 40 - 1 AS pred FROM documents), b2 AS (SELECT CASE WHEN label = 'en' OR pred % 3 = 0 THEN label ELSE 'fr' END AS label, pred FROM b), s AS (SELECT *, count(*) OVER (PARTITION BY label) AS sl, count(*) OVER (PARTITION BY pred) AS sp FROM b2), g AS (SELECT pred, label, count(*) AS n FROM s WHERE sl >= 5 AND sp >= 5 AND pred <> -1 GROUP BY ALL), h AS (SELECT pred, max(n) / sum(n) >= 0.5 AS hit, arg_max(label, n) AS main FROM g GROUP BY pred), o AS (SELECT count_if(hit) / count(*) AS p, count(DISTINCT CASE WHEN hit THEN main END) / (SELECT count(DISTINCT label) FROM s WHERE sl >= 5) AS r FROM h)"
 
 
 @query(f"{PURITY} SELECT round(p, 9) AS p, round(r, 9) AS r, round(2 * p * r / nullif(p + r, 0), 9) AS f1 FROM o")
 def purity_f1(spark, d):
-    rows = _docs(spark, d).select(F.col("lang").alias("label"), (F.col("doc_id") % 40).alias("pred"))
+    rows = _docs(spark, d).select(F.col("lang").alias("label"), (F.col("doc_id") % 40 - 1).alias("pred"))
     rows = rows.withColumn("label", F.when((F.col("label") == "en") | (F.col("pred") % 3 == 0), F.col("label")).otherwise("fr"))
     return _rounded(metrics.purity(rows, 5, 0.5), "p", "r", "f1")
 
@@ -296,7 +289,10 @@ def macro_prf(spark, d):
     return _rounded(metrics.macro_scores(read(spark, d, "labels"), "quality", "toxic"), "p", "r", "f1")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS}, l AS (SELECT label, row_number() OVER (ORDER BY label) AS k FROM (SELECT DISTINCT label FROM c)), p AS (SELECT DISTINCT pred FROM c),
+full_table AS (SELECT l.k, p.pred, coalesce(c.n, 0) AS n FROM l CROSS JOIN p LEFT JOIN c ON c.label = l.label AND c.pred = p.pred),
+a(k, used, n) AS (SELECT 0::BIGINT, []::VARCHAR[], 0::BIGINT UNION ALL SELECT t.k, list_append(a.used, t.pred), a.n + t.n FROM a JOIN full_table t ON t.k = a.k + 1 WHERE NOT list_contains(a.used, t.pred))
+SELECT max(a.n) / (SELECT sum(n) FROM c) AS accuracy FROM a WHERE a.k = (SELECT max(k) FROM l)""")
 def hungarian_accuracy(spark, d):
     return spark.createDataFrame([(metrics.assigned_accuracy(metrics.contingency(_pairs(spark, d))),)], "accuracy double")
 
@@ -347,16 +343,28 @@ def mean_pool_vectors(spark, d):
     return _two(pooling.mean_pool(_docs(spark, d), _word_vectors(spark, d), 2))
 
 
-@query(rf"WITH {RAW_TOKENS}, {WORD_VECTORS}, i AS (SELECT token, count(DISTINCT idx) AS idf FROM t WHERE regexp_full_match(token, '[a-z]+') GROUP BY token), m AS (SELECT idx, coalesce(sum(x0 * idf), 0) / count(*) AS x0, coalesce(sum(x1 * idf), 0) / count(*) AS x1 FROM t LEFT JOIN v USING (token) LEFT JOIN i ON i.token = lower(t.token) AND regexp_full_match(t.token, '[A-Za-z]+') GROUP BY idx) SELECT doc_id AS idx, round(coalesce(x0, 0), 9) AS x0, round(coalesce(x1, 0), 9) AS x1 FROM documents LEFT JOIN m ON m.idx = doc_id")
+KEY = f"lower({S.ascii_of('token')})"
+
+
+@query(f"""WITH {RAW_TOKENS}, {WORD_VECTORS}, k AS (SELECT token, {KEY} AS key FROM (SELECT DISTINCT token FROM t)), i AS (SELECT key, count(DISTINCT idx) AS idf FROM t JOIN k USING (token) GROUP BY key),
+m AS (SELECT idx, coalesce(sum(x0 * idf), 0) / count(*) AS x0, coalesce(sum(x1 * idf), 0) / count(*) AS x1 FROM t LEFT JOIN v USING (token) JOIN k USING (token) JOIN i USING (key) GROUP BY idx)
+SELECT doc_id AS idx, round(coalesce(x0, 0), 9) AS x0, round(coalesce(x1, 0), 9) AS x1 FROM documents LEFT JOIN m ON m.idx = doc_id""")
 def weighted_pool_vectors(spark, d):
     docs = _docs(spark, d)
-    ascii_words = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct().where("token rlike '^[a-z]+$'")
-    idf = ascii_words.groupBy("token").agg(F.count("*").cast("double").alias("idf"))
-    vectors = _word_vectors(spark, d).where("token rlike '^[A-Za-z]+$'")
-    return _two(pooling.mean_pool(docs, vectors, 2, idf=idf))
+    words = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).select("doc_id", F.lower(T.to_ascii(F.col("token"))).alias("token")).distinct()
+    idf = words.groupBy("token").agg(F.count("*").cast("double").alias("idf"))
+    return _two(pooling.mean_pool(docs, _word_vectors(spark, d), 2, idf=idf))
 
 
-@query()
+BURST = f"""posts AS (SELECT doc_id AS r, epoch(ts)::BIGINT AS sec, text FROM documents JOIN events ON event_id = doc_id), {S.formatted('cleaned', 'posts', key='r')},
+occ AS (SELECT r, token, count(*) AS k FROM (SELECT r, unnest(regexp_extract_all(text, '[A-Za-z0-9_]{{2,}}')) AS token FROM cleaned) GROUP BY ALL),
+tot AS (SELECT token, sum(k)::BIGINT AS df, min(r) AS began FROM occ GROUP BY token), cnt AS (SELECT count(*) AS n FROM posts),
+w(r, s) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT w.r + 1, w.s + CASE WHEN ((a.sec - b.sec) % 86400 + 86400) % 86400 >= 43200 THEN 1 ELSE 0 END FROM w JOIN posts a ON a.r = w.r JOIN posts b ON b.r = w.s WHERE w.r + 1 < (SELECT n FROM cnt)),
+shares AS (SELECT o.token, sum(p.k) / (o.r - w.s + 1) AS f FROM occ o JOIN w ON w.r = o.r JOIN tot ON tot.token = o.token JOIN occ p ON p.token = o.token AND p.r >= w.s AND p.r <= o.r WHERE began < w.s GROUP BY o.token, o.r, w.s),
+best AS (SELECT token, max(f) AS fg FROM shares GROUP BY token)"""
+
+
+@query(f"WITH RECURSIVE {BURST} SELECT token, df, round(ln((n + 1) / (df + 1)) + 1, 9) AS idf, round(CASE WHEN fg > df / n THEN (fg - df / n) * fg / (df / n) ELSE 0 END, 9) AS jlh_max FROM tot CROSS JOIN cnt LEFT JOIN best USING (token)")
 def burst_jlh(spark, d):
     posts = _docs(spark, d).join(read(spark, d, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
     posts = posts.select(F.col("doc_id").alias("r"), "ts", "text")
@@ -402,7 +410,7 @@ def nn_by_edges(spark, d):
     return neighbors.nearest_by_edges(edges).select("i", "j", F.round("d", 9).alias("d"))
 
 
-@query()
+@query("SELECT vec_id AS idx, substr(md5('11:' || vec_id), 1, 8) < '80000000' AS train FROM embeddings")
 def seeded_half_split(spark, d):
     return learning.half_split(read(spark, d, "embeddings").select(F.col("vec_id").alias("idx")), 11)
 
@@ -412,9 +420,10 @@ def svd_project(spark, d):
     return tfidf.svd_project(_weighted(spark, d))
 
 
-@query()
+@query(f"WITH {S.hashed('v', 'documents', 'doc_id', 'text', 16)} SELECT doc_id AS idx, d, round(x, 9) AS x FROM v WHERE round(x, 9) <> 0")
 def encoder_vectors(spark, d):
-    return learning.encode(_docs(spark, d), learning.hashing_encoder, normalise=True)
+    found = learning.encode(_docs(spark, d), learning.hashing_encoder, normalise=True).select("idx", F.posexplode("vec").alias("d", "x"))
+    return found.select("idx", F.col("d").cast("long").alias("d"), F.round("x", 9).alias("x")).where("x <> 0")
 
 
 @query()
@@ -431,26 +440,21 @@ def one_line_text(spark, d):
     return _docs(spark, d).select("doc_id", T.one_line(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\x00-\x7F]', '', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{17F}]')")
+@query(f"SELECT doc_id, {S.ascii_of('text')} AS text FROM documents")
 def transliterate(spark, d):
-    plain = _docs(spark, d).where(~F.col("text").rlike(r"[^\x00-\x{17F}]"))
-    return plain.select("doc_id", T.to_ascii(F.col("text")).alias("text"))
-
-
-@query()
-def transliterate_all(spark, d):
-    """Every row; transliterate has those that SQL can express."""
     return _docs(spark, d).select("doc_id", T.to_ascii(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}]+'), lambda w: w <> '')) AS n FROM documents")
+@query(f"SELECT doc_id, {S.joined(S.white_words('text'))} AS words FROM documents")
 def white_split(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.white_split(F.col("text"))).cast("long").alias("n"))
+    return _docs(spark, d).select("doc_id", F.array_join(T.white_split(F.col("text")), " ").alias("words"))
 
 
-@query()
+@query(f"""WITH plain AS (SELECT doc_id, {S.without_urls(S.without_entities('text'))} AS text FROM documents),
+spaced AS (SELECT doc_id, {S.ascii_of(S.joined(S.hashtags_split(f"regexp_split_to_array(text, '[{S.WHITE}]+')")))} AS text FROM plain), {S.squeezed("q", "spaced")}
+SELECT doc_id, {S.joined("list_filter(regexp_extract_all(lower(text), '@?[a-z0-9_]+''?[a-z0-9_]*'), lambda w: w <> 'the' AND w <> 'of')")} AS tokens FROM q""")
 def social_tokens(spark, d):
-    return _docs(spark, d).select("doc_id", T.social_tokens(F.col("text"), ("the", "of")).alias("tokens"))
+    return _docs(spark, d).select("doc_id", F.array_join(T.social_tokens(F.col("text"), ("the", "of")), " ").alias("tokens"))
 
 
 @query("SELECT conv_id, turn, role || ': ' || text AS prompt FROM conversations")
@@ -514,3 +518,6 @@ def streaming_fsd(spark, d):
     online = streams.StoryTables(scratch(spark, "streams"), DENSE_T, DENSE_WINDOW, BATCH)
     online.start(rows).awaitTermination()
     return online.found(spark)
+
+
+from storyweft.plans import file_queries  # noqa: E402, F401  registers its queries

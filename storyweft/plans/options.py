@@ -45,11 +45,13 @@ def merged(model: str, document: dict, given: dict | None = None) -> Options:
     return replace(out, **_fields(given or {}), model=ALIASES.get(model, model))
 
 
-#: How texts are cleaned for a model: mentions removed if asked, ASCII, lower case.
+#: How texts are cleaned for a model: mentions removed if asked; ASCII and lower case for tf-idf and
+#: French word vectors, the words' own letters and case for English ones and encoders.
 def cleaning(options: Options) -> dict:
-    mentions = bool(options.remove_mentions) and options.model != "w2v_twitter_en"
-    if options.model.startswith("tfidf") or options.model in ("w2v_afp_fr", "w2v_twitter_fr", "w2v_twitter_en"):
+    mentions = bool(options.remove_mentions)
+    if options.model.startswith("tfidf") or (options.model.startswith("w2v") and options.lang == "fr"):
         return {"remove_mention": mentions, "ascii_only": True, "lower": True, "hashtag_split": options.hashtag_split}
-    if options.model == "w2v_gnews_en":
-        return {"remove_mention": mentions, "ascii_only": True, "lower": False, "hashtag_split": options.hashtag_split}
+    if options.model.startswith("w2v"):
+        mentions = mentions and options.model != "w2v_twitter_en"
+        return {"remove_mention": mentions, "ascii_only": False, "lower": False, "hashtag_split": options.hashtag_split}
     return {"remove_mention": mentions, "ascii_only": False, "lower": False, "hashtag_split": True}

@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 
 from storyweft.functions import text as T
 from storyweft.functions import vectors as V
-from storyweft.operators import learning, metrics, neighbors, stories, tfidf
+from storyweft.operators import learning, metrics, neighbors, pooling, stories, tfidf
 from storyweft.plans.options import Options, cleaning
 from storyweft.session import cut
 from storyweft.sources import datasets
 
 
-def build_features(docs: DataFrame, options: Options, provider=None, history=None, history_n: int = 0, stop_words=None) -> tuple[DataFrame, bool]:
-    """(features, sparse) of docs (idx, text): (idx, token, w), or (idx, vec) for other models."""
+def build_features(docs: DataFrame, options: Options, provider=None, history=None, history_n: int = 0, stop_words=None, vectors=None) -> tuple[DataFrame, bool]:
+    """(features, sparse) of docs (idx, text): (idx, token, w), or (idx, vec) for other models. Word
+    vectors (w2v models) are a table vectors (token, vec); their weights, if asked for, come from the
+    document frequencies of history."""
     cleaned = docs.select("idx", T.format_text(F.col("text"), **cleaning(options)).alias("text"))
     if options.model.startswith("tfidf"):
         weighted = tfidf.tfidf(cleaned, "idx", "text", options.min_df, options.binary, stop_words=stop_words, history=history, history_n=history_n)
         return (tfidf.svd_project(weighted), False) if options.svd else (weighted, True)
+    if options.model.startswith("w2v"):
+        if vectors is None or (options.tfidf_weights and history is None):
+            raise ValueError(f"model {options.model} needs a table of word vectors, and for weights a history")
+        idf = history.select("token", tfidf.smoothed_idf(F.col("df"), history_n).alias("idf")) if options.tfidf_weights else None
+        dims = vectors.select(F.size("vec")).first()
+        return pooling.mean_pool(cleaned, vectors, dims[0] if dims else 0, "idx", "text", idf), False
     if provider is None:
         raise ValueError(f"model {options.model} needs an encoder")
     return learning.encode(cleaned, provider, "idx"), False
@@ -82,13 +90,17 @@ def score_sweep(rows: DataFrame, thresholds) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, provider, first: str = "1_text", second: str = "2_text", normalise: bool = False, prompt: str = "") -> DataFrame:
-    """pairs with ``cosine``, the distance of their texts' encodings. Pairs are numbered by content,
-    so equal pairs are encoded alike and none is lost."""
-    keyed = pairs.withColumn("_pair", F.xxhash64(first, second))
-    once = keyed.select("_pair", first, second).dropDuplicates(["_pair"])
-    side = lambda c, n: learning.encode(once, provider, "_pair", c, prompt=prompt, normalise=normalise).select(F.col("idx").alias("_pair"), F.col("vec").alias(n))
-    both = side(first, "_x").join(side(second, "_y"), "_pair")
-    return keyed.join(both.select("_pair", V.cosine_distance(F.col("_x"), F.col("_y")).alias("cosine")), "_pair").drop("_pair")
+    """pairs with ``cosine``, the distance of their texts' encodings. Each distinct text is encoded
+    once, under a number of its own; pairs meet their texts by the texts themselves."""
+    texts = pairs.select(F.col(first).alias("_text")).union(pairs.select(F.col(second))).distinct()
+    numbered = cut(texts.withColumn("_n", F.monotonically_increasing_id()))
+    found = learning.encode(numbered, provider, "_n", "_text", prompt=prompt, normalise=normalise)
+    known = cut(numbered.join(found, F.col("_n") == F.col("idx")).select("_text", "vec"))
+    out = pairs
+    for column, name in ((first, "_x"), (second, "_y")):
+        side = known.select(F.col("_text").alias("_key"), F.col("vec").alias(name))
+        out = out.join(side, F.col(f"`{column}`").eqNullSafe(F.col("_key"))).drop("_key")
+    return out.withColumn("cosine", V.cosine_distance(F.col("_x"), F.col("_y"))).drop("_x", "_y")
 
 
 def classify(rows: DataFrame, seeds=(11, 22, 33, 44, 55)) -> tuple[DataFrame, DataFrame]:

@@ -17,8 +17,10 @@ REQUIRED = ("id", "label", "text", "created_at")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """df with _line, rising in file and line order: splits are numbered in the order of files."""
-    return df.withColumn("_line", F.monotonically_increasing_id())
+    """df, as read from files, with _line, rising in file and line order: by the file's path, then by
+    where its part begins, then inside the part."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias("_line"))
 
 
 def prepare(df: DataFrame, annotation: str = "no", text_plus: bool = False, images_only: bool = False) -> DataFrame:
@@ -49,10 +51,10 @@ def prepare(df: DataFrame, annotation: str = "no", text_plus: bool = False, imag
 
 def load_dataset(spark: SparkSession, path: str, annotation: str = "no", text_plus: bool = False, images_only: bool = False) -> DataFrame:
     """A TSV with a header, all fields quoted; label is a number or null, all else text."""
-    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    raw = _numbered(spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True))
     if missing := [c for c in REQUIRED if c not in raw.columns]:
         raise ValueError(f"columns missing: {missing}")
-    return prepare(_numbered(raw.withColumn("label", F.col("label").cast("double"))), annotation, text_plus, images_only)
+    return prepare(raw.withColumn("label", F.col("label").cast("double")), annotation, text_plus, images_only)
 
 
 def load_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +68,7 @@ def load_posts(spark: SparkSession, paths: str | list[str], sep: str = ",") -> D
     paths = [paths] if isinstance(paths, str) else paths
     out = None
     for k, path in enumerate(paths):
-        one = _numbered(spark.read.csv(path, sep=sep, header=True, multiLine=True).select("created_at", "text")).withColumn("_file", F.lit(k))
+        one = _numbered(spark.read.csv(path, sep=sep, header=True, multiLine=True)).select("created_at", "text", "_line", F.lit(k).alias("_file"))
         out = one if out is None else out.unionByName(one)
     out = out.withColumn("ts", T.parse_created_at(F.col("created_at")))
     return with_index(out, "_file", "_line", name="r").select("r", "created_at", "ts", "text")
@@ -74,7 +76,7 @@ def load_posts(spark: SparkSession, paths: str | list[str], sep: str = ",") -> D
 
 def load_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Scored pairs with distance 1 - score / 5 and similarity score / 5."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"')
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     score = F.col("Moyenne").cast("double")
     return raw.withColumns({"distance": 1 - score / 5, "similarity": score / 5})
 
@@ -84,9 +86,12 @@ def load_images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content").orderBy("path")
 
 
-def load_options(path: str) -> dict:
+def load_options(path: str, spark: SparkSession | None = None) -> dict:
+    """Options of a YAML file, by Spark's readers if a session is given."""
     import yaml
 
+    if spark is not None:
+        return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f)
 
@@ -171,8 +176,12 @@ def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").option("header", True).csv(path)
 
 
+#: Writers cut the spaces around values unless told not to.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def save_labelled(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("sep", "\t").option("quoteAll", True).option("header", True).csv(path)
+    rows.write.mode("overwrite").option("sep", "\t").option("quoteAll", True).option("escape", '"').options(**KEEP_SPACE).option("header", True).csv(path)
 
 
 def save_json_lines(rows: DataFrame, path: str) -> None:
@@ -180,5 +189,7 @@ def save_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def save_bursts(scores: DataFrame, path: str) -> None:
-    """Most frequent tokens first."""
-    scores.select("token", "df", "idf", "jlh_max").orderBy(F.desc("df"), "token").write.mode("overwrite").option("header", True).csv(path)
+    """Most frequent tokens first; of equal ones the one that occurred first, where scores have that
+    (first), else by token."""
+    tie = "first" if "first" in scores.columns else "token"
+    scores.orderBy(F.desc("df"), tie).select("token", "df", "idf", "jlh_max").write.mode("overwrite").option("header", True).csv(path)
