@@ -87,14 +87,14 @@ def _merge_long(parts: list[bytes], rank_of) -> list[bytes]:
 
 
 class WordCache(dict):
-    """Pre-token to what it is encoded as; unknown ones are encoded together."""
+    """Pre-token to what it is encoded as; unknown ones are encoded together. It holds limit bytes."""
 
-    def __init__(self, encode_many):
+    def __init__(self, encode_many, limit: int | None = None):
         super().__init__()
-        self.encode_many, self.held = encode_many, 0
+        self.encode_many, self.held, self.limit = encode_many, 0, limit or CACHE_BYTES
 
     def of(self, words: list[bytes]) -> list:
-        if self.held > CACHE_BYTES:
+        if self.held > self.limit:
             self.clear()
             self.held = 0
         got = [*map(self.get, words)]

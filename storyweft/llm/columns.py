@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once inside a Python worker; one longer document is handled alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +47,15 @@ def pieces_of_batch(batch: pa.RecordBatch, key: str = "doc_id", text: str = "tex
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a test session without one gets its own."""
+    """The folder that driver and executors share, spark.checkpoint.dir. A session on one machine that
+    names none, as in tests, gets one of its own; on a cluster there is no substitute."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:

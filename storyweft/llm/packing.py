@@ -32,6 +32,8 @@ from storyweft.llm.token_files import END_ID, encode_texts
 
 SIZES = (512, 1024, 2048, 4096)
 BLOCK = 8192
+#: Of the counts that a worker keeps.
+CACHE_BYTES = 96 << 20
 OVERHEAD, QUADRATIC = 64.0, 16384.0
 SCHEMA = "doc_id long, piece int, start long, n_tokens long, bin_id long, bin_size long, bin_tokens long, at long"
 
@@ -80,7 +82,7 @@ def _library_counts(path: str):
 
     library = Tokenizer.from_file(path)
     encode = lambda words: [len(e.ids) for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-    return byte_pairs.WordCache(encode), token_counts.specials_of(path)
+    return byte_pairs.WordCache(encode, CACHE_BYTES), token_counts.specials_of(path)
 
 
 def lengths_of(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -37,6 +37,8 @@ from storyweft.llm import byte_pairs, pretokens
 from storyweft.llm.columns import cut, partitions, pieces_of_batch, shared_dir, table
 
 END_ID = 2
+#: Text bytes of a block; one longer document is a block by itself.
+BLOCK_BYTES = 4 << 20
 #: What stands in a file for a missing document id.
 NO_ID = -(1 << 63)
 
@@ -120,7 +122,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         name, draft = f"{top}/part-{shard:06d}.ids", f"{top}/.draft-{uuid.uuid4().hex}"
         n_docs = n_tokens = 0
         for batch in batches:
-            for keys, data, offsets in pieces_of_batch(batch):
+            for keys, data, offsets in pieces_of_batch(batch, limit=BLOCK_BYTES):
                 if out is None:
                     store.create_dir(top, recursive=True)
                     out = store.open_output_stream(draft)

@@ -36,7 +36,7 @@ from storyweft.llm.words import LOWERED, slice_hashes, word_places
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 3000, 16 << 20
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 3, 1
 EPOCHS, RATE, PRIOR, FOLDS = 40, 2.0, 30.0, 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 #: Lower case, with white space and the marks around words as separators.
 CLEANED = LOWERED.copy()
