@@ -1,7 +1,8 @@
 """URL verdicts by rules and, where none fits, by link-graph propagation over hosts.
 
 A page's links to other hosts become host edges, summed up per pair before anything else, so a
-host with any number of pages is a few rows; where pages meet their host's rank they are salted. Trust is a personalised PageRank from hosts with
+host with any number of pages is a few rows; where pages meet their host's rank, those of hot hosts
+are salted. Trust is a personalised PageRank from hosts with
 pages that the rules allow, along the links; distrust is one from hosts with pages that the rules
 block, against the links (who links to a blocked host is suspect). A host keeps ``1 - damping`` of
 its own seed and passes the rest on by link counts; what has nowhere to go is lost. A host's pages
@@ -10,8 +11,10 @@ reached is allowed. Ranks are compared as they are, and rounds go on until no ra
 than a tiny share of its size, however far a host is from the seeds.
 
 Null urls, and those without ``://``, have an empty host and path; they fit no rule and, having no
-links to or from them, are allowed. Repeated rows stay. An empty table gives an empty result. Null
-or empty html has no links. DataFrame operations only.
+links to or from them, are allowed. Of rules of equal length that fit, the one later in the alphabet
+holds. Repeated rows stay, a missing page_id stays missing. An empty table gives an empty result.
+Null or empty html has no links; urls and html of any length are read whole. Only page_id, url and
+html are read. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING, ROUNDS, CUT_EVERY, RATIO = 0.85, 150, 4, 1.0
 #: Share by which distrust has to be above; sums of doubles differ by less.
 MARGIN = 1e-9
-#: Parts into which a host's pages are dealt where they meet its rank.
-SALTS = 32
+#: Hosts with more than one in SALTS of all pages are dealt, where their pages meet their rank, into
+#: parts of about that size.
+SALTS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -96,16 +100,19 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages."""
     placed = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fit = lambda give: _first_fit(F.col("host"), F.col("path"), rules, give)
-    ruled = placed.select("page_id", "host", "path", fit(lambda v, r: r).alias("rule"), fit(lambda v, r: v).alias("ruled"))
-    sums = ruled.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    whole = sums.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).first()
+    ruled = cut(placed.select("page_id", "host", "path", fit(lambda v, r: r).alias("rule"), fit(lambda v, r: v).alias("ruled")))
+    sums = cut(ruled.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
+    whole = sums.agg(F.sum("n").alias("all"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")).first()
     share = lambda n, total: F.col(n) / F.lit(float(total or 1))
     seeds = sums.select("host", share("good", whole["all_good"]).alias("good"), share("bad", whole["all_bad"]).alias("bad"))
     ranks = propagate(host_edges(placed), seeds)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     verdict = F.coalesce("ruled", F.when(distrust > ratio * trust * (1 + MARGIN), "block").otherwise("allow"))
-    salted = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    spread = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = max(1.0, (whole["all"] or 0) / SALTS)
+    hot = F.broadcast(sums.where(F.col("n") > part).select("host", F.ceil(F.col("n") / part).cast("int").alias("salts")))  # SALTS rows at most
+    salts = F.coalesce("salts", F.lit(1))
+    salted = ruled.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), salts).cast("int")).drop("salts")
+    spread = ranks.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return salted.join(spread, ["host", "salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
