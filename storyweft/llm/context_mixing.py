@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyweft.llm.columns import partitions, pieces_of_batch, stored, table
-from storyweft.llm.words import LOWERED, mix, run_hashes, slice_hashes, word_places
+from storyweft.llm.words import LOWERED, mix, run_hashes, slice_hashes
 
 WINDOW, ORDERS = 6, 6  # bytes of a window with its last one; contexts of 1 to 5 bytes and the word
 CONFIDENCES, BINS = 16, 33
@@ -63,9 +63,9 @@ VARIANTS = FOLDS + 1
 #: Rounds of learning and averaging, passes over a part in each, windows of a part.
 LEARNING, PASSES, PART = 2, 3, 1 << 16
 #: Tokens of a chunk, on average, and the size of the filter of contexts that occur twice.
-EVERY, FILTER_BITS = 16, 1 << 26
+EVERY, FILTER_BITS = 32, 1 << 26
 #: Text bytes handled at once, and distinct windows or tokens gathered before they are merged.
-STEP, PENDING = 4 << 20, 1 << 21
+STEP, PENDING = 1 << 20, 1 << 21
 END = 10
 END_TOKEN = np.uint64(0x5EED0E2D)
 
@@ -79,22 +79,24 @@ def canonical(data: np.ndarray, offsets: np.ndarray):
     """(bytes of the canonical texts, where each begins and the end, token hashes, tokens before
     each text), without the end tokens, and the texts' entries: hashes, ends in the bytes, entries
     before each text. Entries are the tokens, or one of hash 0 for a text without any."""
-    low = LOWERED[data]
-    starts, ends, counts = word_places(low, offsets)
-    hashes = slice_hashes(low, starts, ends)
-    n = np.diff(counts)
-    empty = counts[:-1][n == 0]
-    starts, ends = np.insert(starts, empty, 0), np.insert(ends, empty, 0)
+    apart = np.insert(LOWERED[data], offsets[1:], 32)  # a space behind each text
+    tails = offsets[1:] + np.arange(len(offsets) - 1)
+    inside = apart != 32
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    words = np.cumsum(keep & ~inside, dtype=np.int32)[tails] if len(tails) else np.zeros(0, np.int32)
+    n = np.diff(words, prepend=0).astype(np.int64)
+    keep[tails[n == 0]] = True
+    out = apart[keep]
+    to = np.flatnonzero(out == 32) + 1
     before = np.concatenate([[0], np.cumsum(np.maximum(n, 1))])
-    last = before[1:] - 1
-    size = ends - starts + 1
-    to = np.cumsum(size)
-    at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - (to - size), size)
-    out = np.append(low, np.uint8(0))[np.minimum(at, len(low))]
-    out[to - 1] = 32
-    out[to[last] - 1] = END
-    begins = np.concatenate([[0], to[last]]) if len(last) else np.zeros(1, np.int64)
-    return out, begins, hashes, counts, (np.insert(hashes, empty, np.uint64(0)), to, before)
+    hashes = slice_hashes(out, np.concatenate([[0], to[:-1]]).astype(np.int64), to - 1) if len(to) else np.zeros(0, np.uint64)
+    real = np.ones(len(to), bool)
+    real[before[:-1][n == 0]] = False
+    hashes[~real] = 0
+    begins = np.concatenate([[0], to[before[1:] - 1]])
+    out[begins[1:] - 1] = END
+    return out, begins, hashes[real], np.concatenate([[0], np.cumsum(n)]), (hashes, to, before)
 
 
 def chunks_of(entries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,12 +118,13 @@ def chunks_of(entries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def windows(text: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each byte, itself (lowest) and the WINDOW - 1 before it in its text, line ends ahead of it."""
-    place = np.arange(len(text)) - np.repeat(begins[:-1], np.diff(begins))
     out = text.astype(np.uint64)
     for k in range(1, WINDOW):
         before = np.full(len(text), END, np.uint8)
         before[k:] = text[:-k]
-        before[place < k] = END
+        for j in range(k):
+            at = begins[:-1] + j
+            before[at[at < begins[1:]]] = END
         out |= before.astype(np.uint64) << np.uint64(8 * k)
     return out
 
@@ -146,14 +149,25 @@ def merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """A slot's logit in sixteenths (high byte, signed) and confidence (low byte)."""
+def _quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     n = zeros.astype(np.float64) + ones
     logit = np.log((ones + 0.02 + 0.2 * (n == 0)) / (zeros + 0.02 + 0.2 * (n == 0)))
     confidence = np.where(n == 0, 0, np.minimum(CONFIDENCES - 1, 1 + np.log2(np.maximum(n, 1)).astype(np.int64)))
     return (np.clip(np.rint(logit * 16), -127, 127).astype(np.int8).view(np.uint8).astype(np.uint16) << 8) | confidence.astype(np.uint16)
 
 
+#: The same for counts below 256.
+FEW = _quantised(np.arange(1 << 16) >> 8, np.arange(1 << 16) & 255)
+
+
+def quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """A context's logit in sixteenths (high byte, signed) and confidence (low byte)."""
+    many = (zeros | ones) >> 8 != 0
+    out = FEW.take(np.where(many, 0, zeros << 8 | ones))
+    out[many] = _quantised(zeros[many], ones[many])
+    return out
+
+
 FOLD_NAMES = [f"n{k}" for k in range(FOLDS)]
 GATHERED = "kind int, key long, n long, " + ", ".join(f"{c} long" for c in FOLD_NAMES)
 
@@ -375,8 +389,9 @@ def said_bits(said: np.ndarray, byte: np.ndarray, weights: np.ndarray, stage: np
 
 
 def trained(windows: DataFrame, short) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and last stage from all windows of all training texts. Parts come to the driver as
-    sums, one row (some 12 KB) a task."""
+    """Weights and last stage from all windows of all training texts; the stage is counted with the
+    weights that a part has just learnt. Parts come to the driver as sums, one row (some 15 KB) a
+    task."""
     spark = windows.sparkSession
     held = spark.sparkContext.broadcast(short)
 
@@ -396,11 +411,12 @@ def trained(windows: DataFrame, short) -> tuple[np.ndarray, np.ndarray]:
 
         def work(said, times, byte, start=weights):
             learnt, used = taught(said, times, byte, start)
-            return np.concatenate([(learnt * used).ravel(), used.ravel()])
+            return np.concatenate([(learnt * used).ravel(), used.ravel(), stage_sums(said, times, byte, learnt).ravel()])
 
-        total, used = over_parts(work, 2 * weights.size).reshape(2, *weights.shape)
+        sums = over_parts(work, 2 * weights.size + 2 * stage.size)
+        total, used = sums[: 2 * weights.size].reshape(2, *weights.shape)
         weights = np.where(used > 0, total / np.maximum(used, 1), weights).astype(np.float32)
-    hits, ones = over_parts(lambda said, times, byte: stage_sums(said, times, byte, weights).ravel(), 2 * stage.size).reshape(2, *stage.shape)
+        hits, ones = sums[2 * weights.size :].reshape(2, *stage.shape)
     return weights, ((ones + 20 * stage) / (hits + 20)).astype(np.float32)
 
 
@@ -421,7 +437,7 @@ class Lookup:
     """Places of 64-bit hashes among sorted distinct ones."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.shift = keys, np.uint64(64 - max(1, len(keys).bit_length()))
+        self.keys, self.shift = keys, np.uint64(63 - max(1, len(keys).bit_length()))
         self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
@@ -430,10 +446,10 @@ class Lookup:
 
     def _places(self, hashes: np.ndarray) -> np.ndarray:
         bucket = (hashes >> self.shift).astype(np.int64)
-        at, end, out = self.starts[bucket], self.starts[bucket + 1], np.full(len(hashes), -1, np.int32)
+        at, end, out = self.starts.take(bucket), self.starts.take(bucket + 1), np.full(len(hashes), -1, np.int32)
         open_ = np.flatnonzero(at < end)
         while len(open_):
-            hit = self.keys[at[open_]] == hashes[open_]
+            hit = self.keys.take(at[open_]) == hashes[open_]
             out[open_[hit]] = at[open_[hit]]
             open_ = open_[~hit]
             at[open_] += 1
@@ -471,7 +487,7 @@ def fresh() -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(1)
 def _unpacked(name: str, holder) -> tuple:
     tokens, counts, keys, bits, again = holder.value
-    return tokens, counts, Lookup(keys), bits, again
+    return Lookup(tokens), np.append(np.log10(counts + 0.1), 0.0), Lookup(keys), np.append(bits, 0.0), again  # place -1 counts nothing
 
 
 def _frequent(counts: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -575,10 +591,10 @@ def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
         return pa.record_batch([made(columns.get(c), kinds.get(c, pa.int64())) for c in names], names)
 
     def run(batches):
-        tokens, token_counts, lookup, window_bits, again = _unpacked(name, holder)
+        known_tokens, log_counts, lookup, window_bits, again = _unpacked(name, holder)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for keys, data, offsets in pieces_of_batch(batch, limit=STEP // 4):
+            for keys, data, offsets in pieces_of_batch(batch, limit=STEP):
                 text, begins, hashes, at, entries = canonical(data, offsets)
                 uids, uid = np.arange(uid, uid + len(keys)), uid + len(keys)
                 size, text_of, context, pair = chunks_of(entries)
@@ -586,19 +602,19 @@ def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
                 open_ = (context != 0) & ((again[(context & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)] >> (context & np.uint64(63)) & np.uint64(1)) != 0)
                 ids, chunk = mix(windows(text, begins)), np.repeat(np.arange(len(size)), size)
                 where = lookup(ids)
-                there = where >= 0
-                bits = np.bincount(chunk[there], window_bits[where[there]], len(size)).astype(np.float64)
+                missed = np.flatnonzero(where < 0)
+                bits = np.add.reduceat(window_bits.take(where), np.cumsum(size) - size) if len(size) else np.zeros(0)
                 owner = np.repeat(np.arange(len(keys)), np.diff(at))
-                place = np.minimum(np.searchsorted(tokens, hashes), max(0, len(tokens) - 1)) if len(tokens) else np.zeros(len(hashes), np.int64)
-                hit = tokens[place] == hashes if len(tokens) else np.zeros(len(hashes), bool)
-                base = np.bincount(owner[hit], np.log10(token_counts[place[hit]] + 0.1), len(keys)) + np.log10(end_count + 0.1)
-                known = np.bincount(owner[hit], minlength=len(keys)) + int(end_count > 0)
+                place = known_tokens(hashes)
+                hit = place >= 0
+                base = np.bincount(owner, log_counts.take(place), len(keys)) + np.log10(end_count + 0.1)
+                known = np.bincount(owner, hit, len(keys)).astype(np.int64) + int(end_count > 0)
                 closed = np.bincount(text_of[~open_], bits[~open_], len(keys)).astype(np.float64)
                 yield rows(len(keys), kind=np.zeros(len(keys), np.int32), uid=uids, doc=keys, n=np.diff(at) + 1, known=known, base=base, bits=closed)
                 what, whose, times = _rare(hashes[~hit], owner[~hit])
                 yield rows(len(what), kind=np.full(len(what), 1), uid=uids[whose], key=what.view(np.int64), n=times)
                 part = np.where(open_, np.arange(len(size)), len(size) + text_of)  # windows of closed chunks go to their text
-                what, whose, times = _rare(ids[~there], part[chunk[~there]])
+                what, whose, times = _rare(ids[missed], part[chunk[missed]])
                 of_text = whose >= len(size)
                 whose_chunk = np.where(of_text, 0, whose)
                 yield rows(len(what), kind=np.full(len(what), 2), uid=uids[np.where(of_text, whose - len(size), text_of[whose_chunk])], no=np.where(of_text, -1, no[whose_chunk]), key=what.view(np.int64), n=times)
