@@ -193,10 +193,11 @@ def label_distances(rows: DataFrame, dims: int, label: str = "label", vec: str =
     return a.join(b, "d").where("a <= b").groupBy("a", "b").agg((1 - F.sum(F.col("xa") * F.col("xb"))).alias("mean_distance"))
 
 
-def label_max_distances(rows: DataFrame, label: str = "label", vec: str = "vec", blocks: int = 8) -> DataFrame:
+def label_max_distances(rows: DataFrame, label: str = "label", vec: str = "vec", block: int = 2048) -> DataFrame:
     """(a, b, max_distance) of each pair of labels, own ones too. Every two rows have to meet: rows
-    are dealt into blocks by a hash of idx, and each pair of blocks is one matrix product; choose
-    blocks so that one fits a task."""
+    are dealt into blocks of about that many by a hash of idx, and each pair of blocks is one matrix
+    product."""
+    blocks = max(1, -(-rows.count() // block))
     from storyweft.functions import vectors as V
 
     mine = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")

@@ -402,12 +402,13 @@ def precomputed_distances(spark, d):
     return datasets.precomputed_distances(rows).select("i", "j", F.round("d", 9).alias("d"))
 
 
-@query("WITH e AS (SELECT vec_id AS i, greatest(vec_id - 3, 0) AS j, label / 10 AS d FROM embeddings UNION ALL SELECT vec_id, greatest(vec_id - 7, 0), (9 - label) / 10 FROM embeddings), b AS (SELECT * FROM e WHERE j < i) SELECT i, arg_min(j, (d, j)) AS j, round(min(d), 9) AS d FROM b GROUP BY i")
+@query("WITH e AS (SELECT vec_id AS i, greatest(vec_id - 3, 0) AS j, label / 10 AS d FROM embeddings UNION ALL SELECT vec_id, greatest(vec_id - 7, 0), (9 - label) / 10 FROM embeddings), b AS (SELECT * FROM e WHERE j < i // 8 * 8 AND j >= i // 8 * 8 - 6) SELECT i, arg_min(j, (d, j)) AS j, round(min(d), 9) AS d FROM b GROUP BY i")
 def nn_by_edges(spark, d):
+    """By known distances, among the rows of a window of 6 before the row's batch."""
     rows = read(spark, d, "embeddings")
     edge = lambda back, dist: rows.select(F.col("vec_id").alias("i"), F.greatest(F.col("vec_id") - back, F.lit(0)).alias("j"), dist.alias("d"))
     edges = edge(3, F.col("label") / 10).unionByName(edge(7, (9 - F.col("label")) / 10))
-    return neighbors.nearest_by_edges(edges).select("i", "j", F.round("d", 9).alias("d"))
+    return neighbors.nearest_by_edges(edges, 6).select("i", "j", F.round("d", 9).alias("d"))
 
 
 @query("SELECT vec_id AS idx, substr(md5('11:' || vec_id), 1, 8) < '80000000' AS train FROM embeddings")

@@ -78,7 +78,9 @@ def test_options_do_not_leak(tmp_path):
     a, b = O.merged("a", doc), O.merged("b", doc, {"window": 12})
     assert a.threshold == (0.1, 0.2) and a.remove_mentions and b.remove_mentions is None and b.threshold == (0.5,) and b.window == 12
     assert O.merged("sbert_nli_sts", doc).model == "sbert"
-    assert O.cleaning(O.Options(model="use"))["ascii_only"] is False and O.cleaning(O.Options(model="w2v_gnews_en"))["lower"] is False
+    assert O.cleaning(O.Options(model="use"))["ascii_only"] is False and O.cleaning(O.Options(model="w2v_gnews_en", lang="en"))["lower"] is False
+    assert O.cleaning(O.Options(model="w2v_twitter_en", lang="en", remove_mentions=True)) == {"remove_mention": False, "ascii_only": False, "lower": False, "hashtag_split": True}
+    assert O.cleaning(O.Options(model="w2v_afp_fr"))["ascii_only"]
 
 
 def test_index_is_consecutive(spark):

@@ -60,7 +60,7 @@ def test_vectors(spark):
     assert abs(got.d - 0.04) < 1e-12 and got.e == 1.0 and got.u == [0.0, 0.0] and got.q
 
 
-def test_transliterate_all_keeps_every_row(spark, tmp_path):
+def test_transliterate_keeps_every_row(spark, tmp_path):
     import unicodedata
 
     from storyweft.functions import text as T
@@ -70,9 +70,15 @@ def test_transliterate_all_keeps_every_row(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
 
     def plain(c):
-        known = {**T.SINGLE, **T.SEVERAL}
+        known = {**T.single_letters(), **T.SEVERAL}
         base = known.get(c, unicodedata.normalize("NFD", c)[0])
         return base if base.isascii() else ""
 
     wanted = {k: None if t is None else "".join(map(plain, t)) for k, t in enumerate(texts)}
-    assert {r.doc_id: r.text for r in catalogue.transliterate_all(spark, str(tmp_path)).collect()} == wanted
+    assert {r.doc_id: r.text for r in catalogue.transliterate(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_other_scripts_become_ascii(spark):
+    assert one(spark, T.to_ascii, "\u041f\u0440\u0438\u0432\u0435\u0442, \u0449\u0443\u043a\u0430 \u0439\u043e\u0434") == "Privet, shchuka iod"
+    assert one(spark, T.to_ascii, "\u039a\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1 \u03c8\u03c5\u03c7\u03ae") == "Kalemera psukhe"
+    assert one(spark, T.to_ascii, "\u4e2d caf\u00e9") == " cafe"
