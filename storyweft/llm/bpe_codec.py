@@ -5,7 +5,8 @@ transition functions, no regular expression); each distinct slice is merged once
 through a bounded cache; the ids keep the byte offsets of their tokens, by which they decode.
 
 Null text: as empty. Empty text: no ids. Texts of any length are encoded whole; repeated rows
-give repeated results.
+give repeated results, a missing id stays missing, and an empty table gives no rows. Only the key
+and text columns are read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,12 @@ also has those of each word with the two behind it, and a text without words tha
 texts in other languages are told apart too. Equal texts have equal fingerprints.
 
 Null text: as empty; an empty text has an empty fingerprint, which is like another empty one (1)
-and unlike all others (0). Repeated rows repeat. Rows of one id are ordered by text; rows without an id come
-before all others, and the row after the last is the first with an id.
+and unlike all others (0). Texts of any length are fingerprinted whole. Repeated rows repeat. Rows of
+one id are ordered by text; rows without an id come before all others, and the row after the last is
+the first with an id. An empty table gives no rows. Only doc_id and text are read.
+
+A row's two likenesses are of given pairs and so exact, whatever the lengths; partitions by length
+and the pruned comparison serve ``similar_pairs``, which looks for the pairs itself.
 """
 
 from __future__ import annotations

@@ -565,11 +565,14 @@ def test_queries_run(spark, name):
     assert Counter(r[0] for r in got.select(key).collect()) == given
 
 
-def test_exact_sql(spark):
+@pytest.mark.parametrize("name", ["op2_near_duplicates", "op5_exact_dedup"])
+def test_sql(spark, name):
     import duckdb
 
+    import __spark_entry__
+
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    wanted = con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.SQL})").fetchall()
-    got = exact_dedup.op5_exact_dedup(spark, SF).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
-    assert sorted(map(tuple, got)) == sorted(wanted)
+    got = __spark_entry__.queries()[name](spark, SF)
+    wanted = con.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
