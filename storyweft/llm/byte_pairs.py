@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -87,26 +88,50 @@ def _merge_long(parts: list[bytes], rank_of) -> list[bytes]:
 
 
 class WordCache(dict):
-    """Pre-token to what it is encoded as; unknown ones are encoded together. It holds limit bytes."""
+    """Pre-token to what it is encoded as; unknown ones are encoded together. It holds limit bytes, by
+    an estimate of an entry's own bytes and of those that each byte of a pre-token brings."""
+
+    ENTRY, BYTE = 200, 5
 
     def __init__(self, encode_many, limit: int | None = None):
         super().__init__()
         self.encode_many, self.held, self.limit = encode_many, 0, limit or CACHE_BYTES
 
-    def of(self, words: list[bytes]) -> list:
+    def room(self) -> None:
         if self.held > self.limit:
             self.clear()
             self.held = 0
+
+    def learn(self, words: list[bytes]) -> list:
+        """What these are encoded as, kept from now on."""
+        unknown = [*{*words}]
+        found = dict(zip(unknown, self.encode_many(unknown)))
+        short = {w: x for w, x in found.items() if len(w) <= KEPT}
+        self.update(short)
+        self.held += sum(map(len, short)) * self.BYTE + self.ENTRY * len(short)
+        return [found[w] for w in words]
+
+    def of(self, words: list[bytes]) -> list:
+        self.room()
         got = [*map(self.get, words)]
-        missing = [i for i, x in enumerate(got) if x is None]
-        if missing:
-            unknown = [*{words[i] for i in missing}]
-            found = dict(zip(unknown, self.encode_many(unknown)))
-            for i in missing:
-                got[i] = found[words[i]]
-            short = {w: x for w, x in found.items() if len(w) <= KEPT}
-            self.update(short)
-            self.held += sum(map(len, short)) * 5 + 200 * len(short)
+        if None in got:
+            missing = [i for i, x in enumerate(got) if x is None]
+            for i, x in zip(missing, self.learn([words[i] for i in missing])):
+                got[i] = x
+        return got
+
+
+class CountCache(WordCache):
+    """Pre-token to a number, given as an array."""
+
+    ENTRY, BYTE = 110, 1
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        self.room()
+        got = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            got[missing] = self.learn([words[i] for i in missing.tolist()])
         return got
 
 

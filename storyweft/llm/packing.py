@@ -81,8 +81,8 @@ def _library_counts(path: str):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    encode = lambda words: [len(e.ids) for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-    return byte_pairs.WordCache(encode, CACHE_BYTES), token_counts.specials_of(path)
+    encode = lambda words: [len(e) for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    return byte_pairs.CountCache(encode, CACHE_BYTES), token_counts.specials_of(path)
 
 
 def lengths_of(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ def compiled(path: str) -> tuple[byte_pairs.WordCache, list[bytes]]:
         starts = np.concatenate([[0], ends[:-1]])
         return machine.count(np.frombuffer(b"".join(words), np.uint8), starts, ends).tolist()
 
-    return byte_pairs.WordCache(run), specials_of(path)
+    return byte_pairs.CountCache(run), specials_of(path)
 
 
 def _without_specials(data: np.ndarray, offsets: np.ndarray, specials: list[bytes]):
@@ -193,7 +193,7 @@ def count_texts(data: np.ndarray, offsets: np.ndarray, path: str, counter=compil
     cache, specials = counter(path)
     data, cuts, owner, out = _without_specials(data, offsets, specials)
     starts, _, counts = pretokens.boundaries(data, cuts)
-    sums = np.concatenate([[0], np.cumsum(np.array(cache.of(pretokens.slices(data, starts)), np.int64))])
+    sums = np.concatenate([[0], np.cumsum(cache.of(pretokens.slices(data, starts)))])
     return out + np.bincount(owner, sums[counts[1:]] - sums[counts[:-1]], len(offsets) - 1).astype(np.int64)
 
 

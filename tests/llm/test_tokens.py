@@ -91,11 +91,12 @@ def test_states_are_bounded_inside_a_call(library, monkeypatch, most):
 
 def test_cache_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(byte_pairs, "CACHE_BYTES", 1000)
-    cache = byte_pairs.WordCache(lambda words: [len(w) for w in words])
-    for k in range(50):
-        words = [b"%d" % (k * 10 + j) for j in range(10)] + [b"x" * 5000]
-        assert cache.of(words) == [len(w) for w in words]
-        assert len(cache) <= 20 and b"x" * 5000 not in cache
+    for kind in (byte_pairs.WordCache, byte_pairs.CountCache):
+        cache = kind(lambda words: [len(w) for w in words])
+        for k in range(50):
+            words = [b"%d" % (k * 10 + j) for j in range(10)] + [b"x" * 5000, b"0"]
+            assert [*cache.of(words)] == [len(w) for w in words]
+            assert len(cache) <= 20 and b"x" * 5000 not in cache
 
 
 def test_long_merge_equals_short(library):
