@@ -88,36 +88,42 @@ def _merge_long(parts: list[bytes], rank_of) -> list[bytes]:
 
 
 class WordCache(dict):
-    """Pre-token to what it is encoded as; unknown ones are encoded together. It holds limit bytes, by
-    an estimate of an entry's own bytes and of those that each byte of a pre-token brings."""
+    """Pre-token to the bytes of its ids; unknown ones are encoded together. It holds limit bytes, by an
+    estimate of an entry's own bytes and of those that each byte of a pre-token brings."""
 
     ENTRY, BYTE = 200, 5
 
     def __init__(self, encode_many, limit: int | None = None):
         super().__init__()
         self.encode_many, self.held, self.limit = encode_many, 0, limit or CACHE_BYTES
+        self.unknown: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytearray:
+        """A place that is filled when all words have been looked up."""
+        self.unknown.append(word)
+        place = self[word] = bytearray()
+        return place
 
     def room(self) -> None:
         if self.held > self.limit:
             self.clear()
             self.held = 0
 
-    def learn(self, words: list[bytes]) -> list:
-        """What these are encoded as, kept from now on."""
-        unknown = [*{*words}]
-        found = dict(zip(unknown, self.encode_many(unknown)))
+    def learn(self, found: dict) -> None:
+        """Keeps what short pre-tokens are encoded as."""
         short = {w: x for w, x in found.items() if len(w) <= KEPT}
         self.update(short)
         self.held += sum(map(len, short)) * self.BYTE + self.ENTRY * len(short)
-        return [found[w] for w in words]
 
     def of(self, words: list[bytes]) -> list:
         self.room()
-        got = [*map(self.get, words)]
-        if None in got:
-            missing = [i for i, x in enumerate(got) if x is None]
-            for i, x in zip(missing, self.learn([words[i] for i in missing])):
-                got[i] = x
+        got = [*map(self.__getitem__, words)]
+        if self.unknown:
+            unknown, self.unknown = self.unknown, []
+            found = dict(zip(unknown, self.encode_many(unknown)))
+            for w, x in found.items():
+                self.pop(w).extend(x)
+            self.learn(found)
         return got
 
 
@@ -131,7 +137,11 @@ class CountCache(WordCache):
         got = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(got < 0)
         if len(missing):
-            got[missing] = self.learn([words[i] for i in missing.tolist()])
+            some = [words[i] for i in missing.tolist()]
+            unknown = [*{*some}]
+            found = dict(zip(unknown, self.encode_many(unknown)))
+            self.learn(found)
+            got[missing] = [found[w] for w in some]
         return got
 
 

@@ -30,7 +30,7 @@ from storyweft.llm.columns import pieces_of_batch, table
 
 #: States a worker keeps (1.3 kB each); beyond it the machine is compiled anew from the states that
 #: are being run through, SLICES of them at most.
-MAX_STATES, SLICES = 60_000, 4096
+MAX_STATES, SLICES = 130_000, 8192
 
 
 class Transducer:

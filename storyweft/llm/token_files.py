@@ -39,6 +39,8 @@ from storyweft.llm.columns import cut, partitions, pieces_of_batch, shared_dir,
 END_ID = 2
 #: Text bytes of a block; one longer document is a block by itself.
 BLOCK_BYTES = 4 << 20
+#: Of the ids of pre-tokens that a worker keeps.
+CACHE_BYTES = 320 << 20
 #: What stands in a file for a missing document id.
 NO_ID = -(1 << 63)
 
@@ -53,7 +55,7 @@ def _library(path: str):
     library = Tokenizer.from_file(path)
     specials = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
     encode = lambda texts: [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-    return encode, byte_pairs.WordCache(lambda words: encode([w.decode() for w in words])), specials
+    return encode, byte_pairs.WordCache(lambda words: encode([w.decode() for w in words]), CACHE_BYTES), specials
 
 
 def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:

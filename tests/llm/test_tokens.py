@@ -92,10 +92,11 @@ def test_states_are_bounded_inside_a_call(library, monkeypatch, most):
 def test_cache_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(byte_pairs, "CACHE_BYTES", 1000)
     for kind in (byte_pairs.WordCache, byte_pairs.CountCache):
-        cache = kind(lambda words: [len(w) for w in words])
+        of = len if kind is byte_pairs.CountCache else lambda w: b"<" + w
+        cache = kind(lambda words: [*map(of, words)])
         for k in range(50):
             words = [b"%d" % (k * 10 + j) for j in range(10)] + [b"x" * 5000, b"0"]
-            assert [*cache.of(words)] == [len(w) for w in words]
+            assert [*cache.of(words)] == [*map(of, words)]
             assert len(cache) <= 20 and b"x" * 5000 not in cache
 
 
