@@ -40,7 +40,7 @@ END_ID = 2
 #: Text bytes of a block; one longer document is a block by itself.
 BLOCK_BYTES = 4 << 20
 #: Of the ids of pre-tokens that a worker keeps.
-CACHE_BYTES = 320 << 20
+CACHE_BYTES = 240 << 20
 #: What stands in a file for a missing document id.
 NO_ID = -(1 << 63)
 
