@@ -63,9 +63,10 @@ VARIANTS = FOLDS + 1
 #: Rounds of learning and averaging, passes over a part in each, windows of a part.
 LEARNING, PASSES, PART = 2, 3, 1 << 16
 #: Tokens of a chunk, on average, and the size of the filter of contexts that occur twice.
-EVERY, FILTER_BITS = 16, 1 << 26
-#: Text bytes handled at once, and distinct windows or tokens gathered before they are merged.
-STEP, PENDING = 1 << 20, 1 << 21
+EVERY, FILTER_BITS = 32, 1 << 26
+#: Text bytes handled at once, distinct windows or tokens gathered before they are merged, and rows of
+#: a batch on its way to Spark.
+STEP, PENDING, ROWS = 1 << 20, 1 << 21, 1 << 16
 END = 10
 END_TOKEN = np.uint64(0x5EED0E2D)
 
@@ -234,7 +235,7 @@ def gather(docs: DataFrame) -> DataFrame:
                         yield found()
                 if sum(map(len, words)) > PENDING:
                     yield tokens()
-                if sum(map(len, long[2])) > PENDING // 2:
+                if sum(map(len, long[2])) > PENDING // 4:
                     yield from passages()
         if words:
             yield tokens()
@@ -243,7 +244,12 @@ def gather(docs: DataFrame) -> DataFrame:
             yield found()
         yield from passages()
 
-    return docs.select("doc_id", "text").mapInArrow(run, GATHERED)
+    def in_parts(batches):
+        for batch in run(batches):
+            for a in range(0, batch.num_rows, ROWS):
+                yield batch.slice(a, ROWS)
+
+    return docs.select("doc_id", "text").mapInArrow(in_parts, GATHERED)
 
 
 def paths(pair: np.ndarray, counts: np.ndarray) -> np.ndarray:
