@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +73,8 @@ def best_fit(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.nd
 
 
 @lru_cache(1)
-def _library_counts(path: str):
-    """Counts of pre-tokens by the tokenizers library, the special strings."""
+def _library_counts(path: str, limit: int):
+    """Counts of pre-tokens by the tokenizers library, of which limit bytes are kept, the special strings."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,17 +82,17 @@ def _library_counts(path: str):
 
     library = Tokenizer.from_file(path)
     encode = lambda words: [len(e) for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-    return byte_pairs.CountCache(encode, CACHE_BYTES), token_counts.specials_of(path)
+    return byte_pairs.CountCache(encode, limit), token_counts.specials_of(path)
 
 
-def lengths_of(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def lengths_of(docs: DataFrame, tokenizer: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id and length, the number of tokens and one end mark, of each row of docs."""
-    path = tokenizer or byte_pairs.default_json()
+    path, counter = tokenizer or byte_pairs.default_json(), partial(_library_counts, limit=cache_bytes)
 
     def run(batches):
         for batch in batches:
             for keys, data, offsets in pieces_of_batch(batch):
-                yield pa.record_batch([keys, pa.array(token_counts.count_texts(data, offsets, path, _library_counts) + 1)], ["doc_id", "length"])
+                yield pa.record_batch([keys, pa.array(token_counts.count_texts(data, offsets, path, counter) + 1)], ["doc_id", "length"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, length long")
 
