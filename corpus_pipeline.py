@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
-    return packing.pack(packing.lengths_of(docs))
+    return packing.pack(packing.lengths_of(docs, cache_bytes=48 << 20))  # workers still hold other stages' caches
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("near_duplicates", drop_near_copies), ("packing", pack_sequences)]
