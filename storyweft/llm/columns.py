@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
@@ -29,6 +30,14 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives memory that has been freed back to the system, which an idle worker would hold."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: nothing to give back
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
     """Row ranges (a, b) whose texts together stay under limit, one row at least."""
     n, a = len(offsets) - 1, 0

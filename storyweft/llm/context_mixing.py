@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyweft.llm.columns import partitions, pieces_of_batch, stored, table
+from storyweft.llm.columns import partitions, pieces_of_batch, release, stored, table
 from storyweft.llm.words import LOWERED, mix, run_hashes, slice_hashes
 
 WINDOW, ORDERS = 6, 6  # bytes of a window with its last one; contexts of 1 to 5 bytes and the word
@@ -248,6 +248,7 @@ def gather(docs: DataFrame) -> DataFrame:
         for batch in run(batches):
             for a in range(0, batch.num_rows, ROWS):
                 yield batch.slice(a, ROWS)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(in_parts, GATHERED)
 
@@ -409,6 +410,7 @@ def trained(windows: DataFrame, short) -> tuple[np.ndarray, np.ndarray]:
                 if len(some[1]):
                     total += work(*some)
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            release()
 
         return sum((np.frombuffer(r.sums) for r in windows.mapInArrow(run, "sums binary").collect()), np.zeros(size))
 
@@ -628,6 +630,7 @@ def score(docs: DataFrame, top_windows: int = TOP_WINDOWS) -> DataFrame:
                 own, own_pair = (np.where(learn, _own(x, text_of), 0)[open_] for x in (context, pair))
                 short = lambda x: (x[open_] & np.uint64((1 << 63) - 1)).astype(np.int64)
                 yield rows(int(open_.sum()), kind=np.full(int(open_.sum()), 3), uid=uids[text_of[open_]], no=no[open_], key=short(context), pair=short(pair), n=own, known=own_pair, bits=bits[open_])
+        release()
 
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
     of_kind = lambda kind: scored.where(F.col("kind") == kind).select("uid", "no", "key", F.col("n").alias("times"))
