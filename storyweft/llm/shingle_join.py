@@ -8,9 +8,11 @@ one node, whatever their number.
 A node has TREES labels of DEEPEST MinHash values, a byte each, first value highest: labels in order
 are the leaves of a prefix trie, and nodes below one prefix are candidates. The matched prefix has
 DEEPEST values at first and is shortened by one value at a time until the recall reaches the target
-(``depth_for``). The recall is measured on the corpus: of pairs below common prefixes of SHALLOWEST
-values, a bounded sample, it is the chance to share the longer prefix in some tree, by the likeness
-that all their values show. Without such pairs, pairs at the threshold itself count.
+(``depth_for``). The recall is measured on the whole corpus and for its least alike candidates, not for
+the mean: of all sets of nodes below common prefixes of SHALLOWEST values, the one that the fewest trees
+show sets the likeness, which is the threshold at least. A longer prefix is taken only if each of these
+sets is below one as a whole, so it loses no candidate that SHALLOWEST values find. Without any set, and
+in most corpora, the threshold itself counts.
 
 Prefixes with the same members in several trees are one candidate group. Each group's sets meet in
 one task and are compared exactly; a group of more than BLOCK members or BLOCK_BYTES of sets is dealt
@@ -44,8 +46,6 @@ WIDTH, THRESHOLD = 5, 0.8
 TREES, DEEPEST, SHALLOWEST, RECALL = 28, 8, 4, 0.99999
 #: Members and bytes of sets of a block.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
-#: Pairs, one per prefix, on which the recall of prefixes is measured.
-SAMPLE = 20_000
 
 
 def recall_at(depth: int, likeness: np.ndarray, weight: np.ndarray, trees: int = TREES) -> float:
@@ -146,23 +146,26 @@ def with_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select(*kept, "text").mapInArrow(run, schema)
 
 
-def measured_depth(leaves: DataFrame, threshold: float, trees: int, recall: float) -> int:
-    """depth_for the pairs of the corpus: of each of some SAMPLE prefixes, chosen by hash, that have
-    two members and more, the two of least and of greatest hash."""
-    short = leaves.select("node", "labels", "tree", _prefix(F.col("label"), SHALLOWEST).alias("key"))
-    key, node = F.xxhash64("tree", "key"), F.xxhash64("node", "tree")
-    shared = short.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1").count()
-    ends = [F.min_by("labels", node).alias("x"), F.max_by("labels", node).alias("y"), F.count("*").alias("n")]
-    some = short.where(F.pmod(key, F.lit(max(1, shared // SAMPLE))) == 0).groupBy("tree", "key").agg(*ends).where("n > 1")
-    zero = lambda z: sum((F.shiftright(z, 8 * k).bitwiseAND(255) == 0).cast("int") for k in range(DEEPEST))
-    alike = F.aggregate(F.zip_with("x", "y", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, z: n + zero(z))
-    got = some.select(alike.alias("alike")).groupBy("alike").count().collect()  # a row per number of values at most
-    share = np.array([r["alike"] for r in got], np.float64) / (trees * DEEPEST)
-    likeness, n = (share - 1 / 256) / (1 - 1 / 256), np.array([r["count"] for r in got], np.float64)
-    near = likeness >= threshold
-    if not near.any():
-        return depth_for(np.array([threshold]), np.ones(1), trees, recall)
-    return depth_for(likeness[near], n[near] / likeness[near] ** SHALLOWEST, trees, recall)
+def prefix_groups(leaves: DataFrame, depth: int, *more: Column) -> DataFrame:
+    """tree, key, members, h1, h2 (by which equal member sets are told) and more of each prefix of depth
+    values with two members or more."""
+    h = F.xxhash64("node")
+    told = [F.count("*").alias("members"), F.bit_xor(h).alias("h1"), F.sum(F.shiftright(h, 16)).alias("h2")]
+    return leaves.groupBy("tree", _prefix(F.col("label"), depth).alias("key")).agg(*told, *more).where("members > 1")
+
+
+def measured_depth(leaves: DataFrame, threshold: float, trees: int, recall: float, short: DataFrame | None = None) -> int:
+    """depth_for the least likeness of the corpus, that of the member set which prefixes of SHALLOWEST
+    values (short) show in the fewest trees, or the threshold; then shortened while one of these sets,
+    and so maybe a pair, is below no prefix of the depth as a whole."""
+    told = ["members", "h1", "h2"]
+    short = cut(prefix_groups(leaves, SHALLOWEST)) if short is None else short
+    fewest = short.groupBy(*told).count().agg(F.min("count")).first()[0]
+    likeness = max(threshold, ((fewest or 0) / trees) ** (1 / SHALLOWEST))
+    depth = depth_for(np.array([likeness]), np.ones(1), trees, recall)
+    while depth > SHALLOWEST and not short.join(prefix_groups(leaves, depth), told, "left_anti").isEmpty():
+        depth -= 1
+    return depth
 
 
 def verify_group(tree: int, sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, threshold: float, across: bool = False) -> Iterator[tuple[int, int]]:
@@ -283,10 +286,11 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     nodes = full.groupBy("set_key").agg(F.min(F.struct(*_row_key())).alias("first"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("labels").alias("labels"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     leaves = nodes.select("node", "shingles", "labels", F.posexplode("labels").alias("tree", "label"))
-    depth = measured_depth(leaves, threshold, trees, recall)
-    leaves = leaves.select("node", "shingles", "tree", _prefix(F.col("label"), depth).alias("key"))
-    h = F.xxhash64("node")
-    groups = leaves.groupBy("tree", "key").agg(F.count("*").alias("members"), F.sum("shingles").alias("shingles"), F.bit_xor(h).alias("h1"), F.sum(F.shiftright(h, 16)).alias("h2")).where("members > 1")
+    size = F.sum("shingles").alias("shingles")
+    short = cut(prefix_groups(leaves, SHALLOWEST, size))
+    depth = measured_depth(leaves, threshold, trees, recall, short)
+    groups = short if depth == SHALLOWEST else prefix_groups(leaves, depth, size)
+    leaves = leaves.select("node", "tree", _prefix(F.col("label"), depth).alias("key"))
     blocks = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
     chosen = groups.groupBy("members", "h1", "h2").agg(F.min(F.struct("tree", "key", blocks.alias("blocks"))).alias("g")).select("g.*")
     mine = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")

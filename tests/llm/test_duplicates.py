@@ -129,6 +129,48 @@ def test_depth_is_measured_on_the_corpus(spark):
     assert depth[1] > depth[9] >= shingle_join.SHALLOWEST
 
 
+def rows_with_a_hard_pair():
+    """Many pairs with one edit, and as ids 1 and 2 one at the threshold that shares 5 MinHash values at most."""
+    rng = random.Random(1344)
+    words = prose(rng, 94).split()
+    copy = words[:]
+    copy[30] = copy[60] = "edited"
+    rows = [(1, " ".join(words)), (2, " ".join(copy))]
+    for k in range(150):
+        words = prose(rng, 300).split()
+        copy = words[:]
+        copy[150] = f"edit{k}"
+        rows += [(2 * k + 10, " ".join(words)), (2 * k + 11, " ".join(copy))]
+    return rows
+
+
+def test_a_hard_pair_is_not_averaged_away(spark):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in shingle_join.near_duplicates(frame(spark, rows_with_a_hard_pair())).collect()}
+    assert len(got) == 302 and got[1] == got[2] == (1, 1)
+    assert all(got[k] == (k - k % 2, 1) for k in range(10, 310))
+
+
+@pytest.mark.parametrize("edits", [1, 3])
+def test_longer_prefixes_lose_no_candidate(spark, edits):
+    rng, rows = random.Random(edits), []
+    for k in range(60):
+        words = prose(rng, 300).split()
+        for c in range(3):
+            copy = words[:]
+            for e in range(edits):
+                copy[(c * edits + e) * 30] = f"edit{k}x{c}x{e}"
+            rows.append((3 * k + c, " ".join(copy)))
+    signed = shingle_join.signatures(frame(spark, rows), 5, shingle_join.TREES)
+    leaves = signed.select(F.col("doc_id").alias("node"), "labels", F.posexplode("labels").alias("tree", "label"))
+    depth = shingle_join.measured_depth(leaves, 0.8, shingle_join.TREES, shingle_join.RECALL)
+    met = {d: set() for d in (shingle_join.SHALLOWEST, depth)}
+    labels = {r.doc_id: np.array(r.labels, np.int64).view(np.uint64) for r in signed.collect()}
+    for d, pairs in met.items():
+        keys = {k: x >> np.uint64(8 * (shingle_join.DEEPEST - d)) for k, x in labels.items()}
+        pairs |= {(a, b) for a in keys for b in keys if a < b and (keys[a] == keys[b]).any()}
+    assert met[depth] == met[shingle_join.SHALLOWEST] and len(met[depth]) >= 180
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(7, 9)], "a long, b long").repartition(4)
     got = {r.node: r.root for r in shingle_join.components(edges).collect()}
