@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyweft.llm import byte_pairs, pretokens
-from storyweft.llm.columns import cut, partitions, pieces_of_batch, shared_dir, table
+from storyweft.llm.columns import cut, partitions, pieces_of_batch, release, shared_dir, steps, table
 
 END_ID = 2
 #: Text bytes of a block; one longer document is a block by itself.
@@ -73,6 +73,12 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.nd
     return [np.frombuffer(b, np.uint32) for b in out]
 
 
+def encode_block(data: np.ndarray, offsets: np.ndarray, path: str):
+    """encode_texts of a block, in steps: pre-tokens take far more room than the ids that are kept."""
+    for a, b in steps(offsets):
+        yield from encode_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path)
+
+
 def pack_block(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     count = np.bincount(ids)
     distinct = np.flatnonzero(count)
@@ -128,10 +134,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                 if out is None:
                     store.create_dir(top, recursive=True)
                     out = store.open_output_stream(draft)
-                lists = [np.append(x, np.uint32(end_id)) for x in encode_texts(data, offsets, path)]
+                lists = [np.append(x, np.uint32(end_id)) for x in encode_block(data, offsets, path)]
                 sizes = np.array([len(x) for x in lists], np.int64)
                 out.write(pack_block(keys.fill_null(NO_ID).to_numpy(), sizes, np.concatenate(lists).astype(np.uint32)))
                 n_docs, n_tokens = n_docs + len(keys), n_tokens + int(sizes.sum())
+        release()
         if out is not None:
             out.close()
             store.move(draft, name)
@@ -157,6 +164,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                         crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
                         yield pa.record_batch([pa.array(keys, pa.int64(), mask=keys == NO_ID), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += int(ends[-1])
+        release()
 
     return placed.select("path", "ahead").repartition(partitions(spark), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

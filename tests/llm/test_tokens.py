@@ -129,6 +129,18 @@ def test_blocks_of_wide_ranks():
     assert keys.tolist() == [5, 6] and sizes.tolist() == [69_000, 1000] and (back == ids).all()
 
 
+def test_blocks_are_encoded_in_steps(library, monkeypatch):
+    rng, seen = np.random.default_rng(8), []
+    whole = [" ".join(rng.choice(["tree", "river", "naïve", "12", "<|endoftext|>", "zq"], n)) for n in rng.integers(0, 20_000, 60)]
+    raw = [t.encode() for t in whole]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([*map(len, raw)])])
+    plain = pretokens.boundaries
+    monkeypatch.setattr(pretokens, "boundaries", lambda d, o: seen.append(len(d)) or plain(d, o))
+    got = [*token_files.encode_block(data, offsets, P.path("byte_bpe_50k.json"))]
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in whole]
+    assert len(data) > 2 << 20 and sum(seen) == len(data) and max(seen) <= 1 << 20
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     folder = f"file://{tmp_path}/none"
