@@ -150,6 +150,13 @@ def test_a_hard_pair_is_not_averaged_away(spark):
     assert all(got[k] == (k - k % 2, 1) for k in range(10, 310))
 
 
+def test_the_pipeline_drops_the_copy_of_a_hard_pair(spark):
+    import corpus_pipeline
+
+    left = corpus_pipeline.drop_near_copies(spark, frame(spark, rows_with_a_hard_pair()), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, *range(10, 310, 2)]
+
+
 @pytest.mark.parametrize("edits", [1, 3])
 def test_longer_prefixes_lose_no_candidate(spark, edits):
     rng, rows = random.Random(edits), []
