@@ -312,6 +312,51 @@ def test_score_against_a_plain_byte_by_byte_model(spark, monkeypatch, top):
         assert abs(g[2] - w[2]) < 1e-4 * max(1, abs(w[2])), (g, w)
 
 
+def test_gathering_holds_little_beside_the_pending_windows(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:  # takes the function that workers run
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    for name, value in (("STEP", 1 << 15), ("PENDING", 1 << 18), ("ROWS", 1 << 12)):
+        monkeypatch.setattr(context_mixing, name, value)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij    ", k=2000)) for _ in range(250)] + ["aaaaaaaa " * 9, None]
+    keys = [*range(250), 4, None]
+    run = context_mixing.gather(Docs())
+    context_mixing._unpacked("earlier", type("Holder", (), {"value": (np.zeros(0, np.uint64), np.zeros(1), np.zeros(0, np.uint64), np.zeros(1), np.zeros(1, np.uint64))}))
+    batch, got, most = pa.record_batch([pa.array(keys, pa.int64()), pa.array(texts)], ["doc_id", "text"]), Counter(), 0
+    tracemalloc.start()
+    for part in run([batch]):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        assert part.num_rows <= context_mixing.ROWS
+        tracemalloc.stop()
+        for r in part.filter(pa.compute.equal(part["kind"], 1)).to_pylist():
+            got.update({(r["key"], k): r[f"n{k}"] for k in range(3)} | {(r["key"], "rows"): 1})
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert context_mixing._unpacked.cache_info().currsize == 0  # what an earlier query left is gone
+    wanted = Counter()
+    for k, t in zip(keys, texts):
+        left = 0 if k is None else zlib.crc32(str(k).encode()) % 10
+        padded = bytes([context_mixing.END]) * 5 + " ".join((t or "").split(" ")).encode()
+        padded = padded[:5] + re.sub(rb" +", b" ", padded[5:]).strip() + bytes([context_mixing.END])
+        for i in range(len(padded) - 5):
+            key = int.from_bytes(padded[i : i + 6], "big")
+            wanted[key, "rows"] = 1
+            if left:
+                wanted[key, (left - 1) // 3] += 1
+    assert {k: n for k, n in got.items() if n and k[1] != "rows"} == {k: n for k, n in wanted.items() if k[1] != "rows"}
+    assert {k[0] for k in got} == {k[0] for k in wanted}
+    assert most < 8 * 8 * context_mixing.PENDING  # 24 MB, when all windows were counted by fold at once
+
+
 def test_texts_that_occur_twice_are_scored_apart(spark):
     rng = random.Random(3)
     words = [a + b for a in ("mar", "tol", "sen", "vil", "gor", "pad") for b in ("an", "is", "ole", "ut", "em", "iri")]
