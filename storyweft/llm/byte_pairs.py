@@ -10,6 +10,7 @@ from itertools import repeat
 import numpy as np
 
 from storyweft.llm.columns import tokenizer_path
+from storyweft.llm.words import mix
 
 #: Bytes that a worker's cache may hold, by estimate; beyond it the cache starts anew. Pre-tokens
 #: longer than KEPT bytes are not kept.
@@ -145,6 +146,96 @@ class CountCache(WordCache):
         return got
 
 
+#: A 64-bit word's lowest bytes, by their number.
+LOWEST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+class IdTable:
+    """Pre-tokens to ids, without an object for each one that is looked up. A pre-token of up to SHORT bytes
+    is told, exactly, by two 64-bit words that hold its bytes and their number; rows of an open hash table
+    have these words and the place and number of its ids. Longer ones go through a WordCache. It starts
+    anew beyond ``most`` pre-tokens, which is just before it would take more than 2^21 rows."""
+
+    SHORT = 15
+
+    def __init__(self, encode_many, limit: int | None = None, most: int = 15 << 16):
+        self.encode_many, self.most, self.long = encode_many, most, WordCache(encode_many, limit)
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.n = np.zeros((1 << 12, 3), np.uint64), 0
+        self.ids, self.used = np.empty(1 << 14, np.uint32), 0
+
+    def _slots(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> np.uint64(65 - len(self.rows).bit_length())).astype(np.int64)
+
+    def _find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(third word of the row of each, whether there is one)."""
+        slot, last = self._slots(one, two), len(self.rows) - 1
+        got = self.rows.take(slot, axis=0)
+        value, known = got[:, 2].copy(), (got[:, 0] == one) & (got[:, 1] == two)
+        open_ = np.flatnonzero(~known & (got[:, 1] != 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & last
+            got = self.rows.take(slot[open_], axis=0)
+            same = (got[:, 0] == one[open_]) & (got[:, 1] == two[open_])
+            value[open_[same]], known[open_[same]] = got[same, 2], True
+            open_ = open_[~same & (got[:, 1] != 0)]
+        return value, known
+
+    def _put(self, new: np.ndarray) -> None:
+        """Takes up rows of pre-tokens that are not there; half of the table stays empty."""
+        self.n += len(new)
+        if 2 * self.n > len(self.rows):
+            new = np.concatenate([self.rows[self.rows[:, 1] != 0], new])
+            self.rows = np.zeros((1 << (2 * self.n - 1).bit_length(), 3), np.uint64)
+        slot, last, left = self._slots(new[:, 0], new[:, 1]), len(self.rows) - 1, np.arange(len(new))
+        while len(left):
+            at = slot[left]
+            free = np.flatnonzero(self.rows[at, 1] == 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.rows[at[first]] = new[left[first]]
+            left = np.delete(left, first)
+            slot[left] = slot[left] + 1 & last
+
+    def _placed(self, blobs: list, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each; those not to be kept are overwritten by the next ones."""
+        found, number = np.frombuffer(b"".join(blobs), np.uint32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        end = self.used + len(found)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(2 * end - self.used, np.uint32)])
+        self.ids[self.used : end] = found
+        place = self.used + np.cumsum(number) - number
+        self.used = end if keep else self.used
+        return place, number
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens data[start:end] in a row, number of each one's)."""
+        if self.n > self.most:
+            self.clear()
+        size = ends - starts
+        words = np.ndarray(len(data) + 9, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+        one, two = words[starts] & LOWEST[np.minimum(size, 8)], words[np.minimum(starts + 8, len(data))] & LOWEST[np.clip(size - 8, 0, 7)]
+        two |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+        value, known = self._find(one, two)
+        cut = lambda at: [data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        new = np.flatnonzero(~known & (size <= self.SHORT))
+        if len(new):
+            new = new[np.lexsort((one[new], two[new]))]
+            a, b = one[new], two[new]
+            first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            place, number = self._placed([*self.encode_many(cut(new[first]))], True)
+            learnt = place.astype(np.uint64) << np.uint64(8) | number.astype(np.uint64)
+            self._put(np.stack([a[first], b[first], learnt], 1))
+            value[new] = learnt[np.cumsum(first) - 1]
+        place, number = (value >> np.uint64(8)).astype(np.int64), (value & np.uint64(255)).astype(np.int64)
+        long = np.flatnonzero(size > self.SHORT)
+        if len(long):
+            place[long], number[long] = self._placed(self.long.of(cut(long)), False)
+        upto = np.cumsum(number)
+        return self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(place - upto + number, number)], number
+
+
 @lru_cache(1)
 def rank_cache(path: str) -> WordCache:
     ranks = ranks_of(path)

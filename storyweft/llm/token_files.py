@@ -39,8 +39,8 @@ from storyweft.llm.columns import cut, partitions, pieces_of_batch, release, sha
 END_ID = 2
 #: Text bytes of a block; one longer document is a block by itself.
 BLOCK_BYTES = 4 << 20
-#: Of the ids of pre-tokens that a worker keeps.
-CACHE_BYTES = 240 << 20
+#: Of the ids of long pre-tokens that a worker keeps, beside the table of short ones.
+CACHE_BYTES = 120 << 20
 #: What stands in a file for a missing document id.
 NO_ID = -(1 << 63)
 
@@ -55,22 +55,22 @@ def _library(path: str):
     library = Tokenizer.from_file(path)
     specials = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
     encode = lambda texts: [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-    return encode, byte_pairs.WordCache(lambda words: encode([w.decode() for w in words]), CACHE_BYTES), specials
+    return encode, byte_pairs.IdTable(lambda words: encode([w.decode() for w in words]), CACHE_BYTES), specials
 
 
 def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
     """Ids of each text as the tokenizers library gives them: each distinct pre-token is encoded
     by it once per worker; a text with a special string goes through it whole."""
-    encode, cache, specials = _library(path)
-    starts, _, counts = pretokens.boundaries(data, offsets)
-    raw, at, place = data.tobytes(), counts.tolist(), offsets.tolist()
-    blobs = cache.of(pretokens.slices(data, starts))
-    out = [b"".join(blobs[a:b]) for a, b in zip(at, at[1:])]
+    encode, known, specials = _library(path)
+    starts, ends, counts = pretokens.boundaries(data, offsets)
+    ids, number = known.of(data, starts, ends)
+    raw, at, place = data.tobytes(), np.concatenate([[0], np.cumsum(number)])[counts].tolist(), offsets.tolist()
+    out = [ids[a:b] for a, b in zip(at, at[1:])]
     if any(s in raw for s in specials):
         for i, (a, b) in enumerate(zip(place, place[1:])):
             if any(s in raw[a:b] for s in specials):
-                out[i] = encode([raw[a:b].decode()])[0]
-    return [np.frombuffer(b, np.uint32) for b in out]
+                out[i] = np.frombuffer(encode([raw[a:b].decode()])[0], np.uint32)
+    return out
 
 
 def encode_block(data: np.ndarray, offsets: np.ndarray, path: str):

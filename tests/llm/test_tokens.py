@@ -141,6 +141,37 @@ def test_blocks_are_encoded_in_steps(library, monkeypatch):
     assert len(data) > 2 << 20 and sum(seen) == len(data) and max(seen) <= 1 << 20
 
 
+@pytest.mark.parametrize("most, slots", [(1 << 20, None), (50, None), (1 << 20, lambda table, one, two: np.full(len(one), len(table.rows) - 2))])
+def test_table_of_ids_against_a_plain_one(monkeypatch, most, slots):
+    import random
+
+    if slots:  # every pre-token has the same place
+        monkeypatch.setattr(byte_pairs.IdTable, "_slots", slots)
+    ids_of = lambda w: [zlib.crc32(w) & 0xFFFF, *w][: 1 + len(w) % 7] if w[0] != 1 else []
+    asked, rng = [], random.Random(9)
+    table = byte_pairs.IdTable(lambda words: asked.extend(words) or [np.array(ids_of(w), np.uint32).tobytes() for w in words], most=most)
+    for n in (0, 1, 40, 300, 300):
+        words = [bytes(rng.choice((0, 1, 97, 195, 255)) for _ in range(rng.choice((1, 2, 3, 7, 8, 9, 14, 15, 16, 17, 40, 300)))) for _ in range(n)]
+        words += [b"ab", b"ab\0", b"a" * 15, b"a" * 16, b"ab"] * (n > 1)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        ids, number = table.of(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(words)], ends)
+        assert ids.tolist() == [i for w in words for i in ids_of(w)] and number.tolist() == [len(ids_of(w)) for w in words]
+    short = [w for w in asked if len(w) <= 15]
+    assert (most < 100) == (len(short) > len({*short}))  # asked once, unless the table began anew
+    assert 2 * table.n <= len(table.rows) and table.n < most + 310
+
+
+def test_short_pretokens_are_looked_up_without_objects(library, monkeypatch):
+    looked, plain = [], byte_pairs.WordCache.of
+    monkeypatch.setattr(byte_pairs.WordCache, "of", lambda self, words: looked.extend(words) or plain(self, words))
+    text = "the tree by a river, " * 500 + "x" * 40 + " averyveryverylongword"
+    data = np.frombuffer(text.encode(), np.uint8)
+    for _ in range(2):
+        got, = token_files.encode_texts(data, np.array([0, len(data)]), P.path("byte_bpe_50k.json"))
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted({*looked}) == [b" averyveryverylongword", b" " + b"x" * 40]
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     folder = f"file://{tmp_path}/none"
