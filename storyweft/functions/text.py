@@ -31,12 +31,17 @@ def single_letters() -> dict[str, str]:
     return out | SINGLE
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def null_to_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
 def remove_urls(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)http\S+", "")
+    return F.when(F.contains(text, F.lit("http")), F.regexp_replace(text, r"(?U)http\S+", "")).otherwise(text)
 
 
 def remove_mentions(text: Column) -> Column:
@@ -79,15 +84,22 @@ def format_text(text: Column, remove_mention: bool = False, ascii_only: bool = T
     out = remove_urls(null_to_empty(text))
     out = remove_mentions(out) if remove_mention else out
     out = to_ascii(out) if ascii_only else out
-    words = drop_long_numbers(split_words(out))
-    words = F.transform(words, split_hashtag) if hashtag_split else words
-    out = squeeze_repeats(F.array_join(words, " "))
+
+    def worded(text: Column) -> Column:
+        words = drop_long_numbers(split_words(text))
+        words = F.transform(words, split_hashtag) if hashtag_split else words
+        # without long numbers and hashtags, the words come back as they were
+        some = text.rlike(r"\p{Nd}{5}|#") if hashtag_split else text.rlike(r"\p{Nd}{5}")
+        return F.when(some, F.array_join(words, " ")).otherwise(F.replace(text, F.lit("'"), F.lit(" ")))
+
+    out = squeeze_repeats(bound(out, worded))
     return F.lower(out) if lower else out
 
 
 def tokens(text: Column) -> Column:
     """Words of two word characters and more."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    plain, any_script = (F.regexp_extract_all(text, F.lit(word), F.lit(0)) for word in (r"[A-Za-z0-9_]{2,}", r"(?U)\b\w\w+\b"))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), any_script).otherwise(plain)
 
 
 def lower_tokens(text: Column) -> Column:

@@ -12,7 +12,7 @@ from storyweft.plans import options as O
 from storyweft.plans import runs
 from storyweft.plans import text_sql as S
 from storyweft.plans.registry import query
-from storyweft.session import read, scratch, with_index
+from storyweft.session import read, scratch, stored, with_index
 from storyweft.sources import datasets
 
 TIMES = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
@@ -182,12 +182,11 @@ v AS (SELECT DISTINCT token, length(token)::DOUBLE AS x0, CASE WHEN starts_with(
 
 
 def _w2v(spark, d, weighted: bool) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
-    tokens = docs.select("idx", F.explode(T.tokens(T.format_text(F.col("text")))).alias("token")).distinct()
-    history = tokens.groupBy("token").agg(F.count("*").alias("df")) if weighted else None
-    vectors = _letters(tokens.select("token").distinct().where(F.length("token") <= 6))
-    chosen = O.Options(model="w2v_twitter_fr", tfidf_weights=weighted)
-    found, _ = runs.build_features(docs, chosen, vectors=vectors, history=history, history_n=docs.count() if weighted else 0)
+    docs, chosen = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text"), O.Options(model="w2v_twitter_fr", tfidf_weights=weighted)
+    cleaned = stored(runs.clean(docs, chosen))
+    words = stored(tfidf.document_frequency(tfidf.token_rows(cleaned, "idx", tokenizer=T.tokens, once=True), once=True))
+    vectors = _letters(words.where(F.length("token") <= 6))
+    found, _ = runs.build_features(docs, chosen, vectors=vectors, history=words if weighted else None, history_n=docs.count() if weighted else 0, cleaned=cleaned)
     return found.select("idx", F.round(F.col("vec")[0], 9).alias("x0"), F.round(F.col("vec")[1], 9).alias("x1"))
 
 

@@ -15,11 +15,16 @@ from storyweft.session import cut
 from storyweft.sources import datasets
 
 
-def build_features(docs: DataFrame, options: Options, provider=None, history=None, history_n: int = 0, stop_words=None, vectors=None) -> tuple[DataFrame, bool]:
+def clean(docs: DataFrame, options: Options) -> DataFrame:
+    """docs (idx, text) with texts as the options want them."""
+    return docs.select("idx", T.format_text(F.col("text"), **cleaning(options)).alias("text"))
+
+
+def build_features(docs: DataFrame, options: Options, provider=None, history=None, history_n: int = 0, stop_words=None, vectors=None, cleaned: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """(features, sparse) of docs (idx, text): (idx, token, w), or (idx, vec) for other models. Word
     vectors (w2v models) are a table vectors (token, vec); their weights, if asked for, come from the
-    document frequencies of history."""
-    cleaned = docs.select("idx", T.format_text(F.col("text"), **cleaning(options)).alias("text"))
+    document frequencies of history. cleaned: what clean() gives, if the caller has it."""
+    cleaned = clean(docs, options) if cleaned is None else cleaned
     if options.model.startswith("tfidf"):
         weighted = tfidf.tfidf(cleaned, "idx", "text", options.min_df, options.binary, stop_words=stop_words, history=history, history_n=history_n)
         return (tfidf.svd_project(weighted), False) if options.svd else (weighted, True)

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from storyweft.operators import burst, tfidf
+from storyweft.operators import burst, pooling, tfidf
 from storyweft.operators.pooling import mean_pool
+from storyweft.plans import file_queries
 
 START = datetime.datetime(2020, 1, 1)
 
@@ -94,3 +95,28 @@ def test_mean_pool(spark):
     assert got == {0: [1.0, 2.0], 1: [0.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
     idf = spark.createDataFrame([("aa", 2.0)], "token string, idf double")
     assert {r.idx: r.vec for r in mean_pool(docs, vectors, 2, idf=idf).collect()}[0] == [2.0, 0.0]
+
+
+def test_mean_pool_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pooling, "BLOCK", 3)
+    monkeypatch.setattr(pooling, "GATHERED", 8)
+    texts = [f"common {'aa ' * k}bb{k % 3}" for k in range(20)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "aa aa"), (None, "aa"), (30, None)], "doc_id long, text string")
+    vectors = spark.createDataFrame([("aa", [1.0, 0.0]), ("common", [0.0, 2.0]), ("bb1", [4.0, 4.0])], "token string, vec array<double>")
+    got = mean_pool(docs, vectors, 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "aggregatemetrics" not in plan  # nothing is sorted or summed up per word and document
+    bag = lambda k: texts[k].split() + (["aa", "aa"] if k == 3 else [])
+    known = {r.token: r.vec for r in vectors.collect()}
+    wanted = {k: [sum(known.get(t, [0, 0])[i] for t in bag(k)) / len(bag(k)) for i in (0, 1)] for k in range(20)} | {None: [0.0, 0.0], 30: [0.0, 0.0]}
+    rows = got.collect()
+    assert len(rows) == 23
+    for r in rows:
+        assert r.vec == pytest.approx(wanted[r.idx])
+
+
+def test_word_vector_features_clean_texts_once(spark, monkeypatch):
+    times, clean = [], file_queries.T.format_text
+    monkeypatch.setattr(file_queries.T, "format_text", lambda *a, **b: times.append(1) or clean(*a, **b))
+    plan = file_queries.word_vector_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(times) == 1 and "http" not in plan
