@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyweft.functions.text import bound
+
 #: Distances are rounded before they are compared, so that equal vectors tie.
 DIGITS = 12
 
@@ -23,8 +25,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a at length 1; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return bound(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def is_zero(a: Column) -> Column:

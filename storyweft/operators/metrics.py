@@ -193,11 +193,17 @@ def label_distances(rows: DataFrame, dims: int, label: str = "label", vec: str =
     return a.join(b, "d").where("a <= b").groupBy("a", "b").agg((1 - F.sum(F.col("xa") * F.col("xb"))).alias("mean_distance"))
 
 
+#: Blocks that rows are dealt into at most, unless one then has more than LARGEST rows; rows of a matrix product.
+BLOCKS, LARGEST, STRIP = 12, 32768, (1024, 4096)
+
+
 def label_max_distances(rows: DataFrame, label: str = "label", vec: str = "vec", block: int = 2048) -> DataFrame:
     """(a, b, max_distance) of each pair of labels, own ones too. Every two rows have to meet: rows
-    are dealt into blocks of about that many by a hash of idx, and each pair of blocks is one matrix
-    product."""
-    blocks = max(1, -(-rows.count() // block))
+    are dealt into blocks by a hash of idx, and each pair of blocks is one task. Blocks grow with the
+    table from ``block`` to LARGEST rows, so up to BLOCKS * LARGEST rows each is copied BLOCKS times at
+    most; products are taken by strips."""
+    count = rows.count()
+    blocks = max(1, min(BLOCKS, -(-count // block)), -(-count // LARGEST))
     from storyweft.functions import vectors as V
 
     mine = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
@@ -205,15 +211,28 @@ def label_max_distances(rows: DataFrame, label: str = "label", vec: str = "vec",
     dealt = unit.select("label", "vec", "mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     dealt = dealt.select("label", "vec", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
+    def strips(labels: np.ndarray, x: np.ndarray, rows: int):
+        """(label of each run, its begin, vectors) of some rows at a time, in order of labels."""
+        order = np.argsort(labels, kind="stable")
+        for k in range(0, len(order), rows):
+            some = order[k : k + rows]
+            found, begins = np.unique(labels[some], return_index=True)
+            yield found, begins, x[some]
+
     def run(group: pa.Table) -> pa.Table:
-        labels, x = group["label"].to_numpy(), np.stack([np.asarray(v) for v in group["vec"].to_pylist()])
+        labels, flat = group["label"].to_numpy(), group["vec"].combine_chunks().flatten().to_numpy()
+        x = flat.reshape(len(labels), -1)
         first = group["mine"].to_numpy() == group["p"].to_numpy()[0]
         second = ~first if group["p"][0] != group["q"][0] else first
-        far, best = 1 - x[first] @ x[second].T, {}
-        for a in np.unique(labels[first]):
-            for b in np.unique(labels[second]):
-                key = (min(a, b), max(a, b))
-                best[key] = max(best.get(key, -1.0), far[np.ix_(labels[first] == a, labels[second] == b)].max())
+        best: dict = {}
+        others = [*strips(labels[second], x[second], STRIP[1])]
+        for mine, begins, left in strips(labels[first], x[first], STRIP[0]):
+            for theirs, starts, right in others:
+                near = np.minimum.reduceat(np.minimum.reduceat(left @ right.T, starts, axis=1), begins, axis=0)
+                for a, line in zip(mine.tolist(), near.tolist()):
+                    for b, s in zip(theirs.tolist(), line):
+                        key = (min(a, b), max(a, b))
+                        best[key] = max(best.get(key, -1.0), 1 - s)
         return pa.table({"a": pa.array([k[0] for k in best], pa.int64()), "b": pa.array([k[1] for k in best], pa.int64()), "d": pa.array([*best.values()], pa.float64())})
 
     found = dealt.groupBy("p", "q").applyInArrow(run, "a long, b long, d double")

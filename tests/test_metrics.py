@@ -92,3 +92,16 @@ def test_series_and_spread(spark):
     assert [(p.t, p.value) for p in M.series_by_model(rows, "f1").first().series] == [(0.1, 1.0), (0.7, 2.0)]
     assert M.mean_std(rows, "model", "f1").select("mean", "std").first() == (1.5, 0.71)
     assert M.cluster_sizes(rows, "model").select(F.col("max_size")).first()[0] == 2
+
+
+def test_label_max_distances_copy_rows_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCKS", 3), monkeypatch.setattr(M, "STRIP", (3, 5))
+    rng = np.random.default_rng(4)
+    x, labels = rng.normal(size=(60, 3)), rng.integers(0, 4, 60)
+    x[7] = 0
+    rows = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(labels, x))], "idx long, label long, vec array<double>")
+    got = M.label_max_distances(rows, block=4)
+    assert "sequence(0, 2" in got._jdf.queryExecution().logical().toString() or "[0,1,2]" in got._jdf.queryExecution().optimizedPlan().toString()
+    far = 1 - (u := x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ u.T
+    wanted = {(a, b): far[np.ix_(labels == a, labels == b)].max() for a in range(4) for b in range(a, 4)}
+    assert {(r.a, r.b): pytest.approx(r.max_distance) for r in got.collect()} == wanted
